@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from .textnorm import fold, typo_distance
+from .textnorm import NearIndex, fold, typo_distance
 
 # Written forms of street kinds, titles, number words, notes and given names.
 KINDS = {
@@ -71,7 +71,7 @@ class AddressReader:
         self.places = frozenset(localities.values())
         self.towns = frozenset(towns)
         self.near: dict[str, str] = {}
-        self.lengths = {n: [p for p in self.places | self.towns if abs(len(p) - n) <= 2] for n in range(3, 40)}
+        self.index = NearIndex(self.places | self.towns)
 
     def place(self, token: str, fuzzy: bool) -> str:
         if token in self.places or token in self.towns:
@@ -79,8 +79,8 @@ class AddressReader:
         if not fuzzy or len(token) < 6:
             return ""
         if token not in self.near:
-            best = min(((typo_distance(token, p), p) for p in self.lengths.get(len(token), ()) if p[0] == token[0] or p[1:2] == token[1:2] or p[1:2] == token[0]), default=(3, ""))
-            self.near[token] = best[1] if best[0] <= 2 else ""
+            found = self.index.find(token)
+            self.near[token] = found[0][1] if found else ""
         return self.near[token]
 
     def read(self, text: str | None) -> Address | None:

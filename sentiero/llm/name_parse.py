@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from .textnorm import fold, jaro_winkler, typo_distance
+from .textnorm import NearIndex, fold
 
 # Words that tell the activity, by activity; all words of one activity are interchangeable.
 ACTIVITIES = {
@@ -71,6 +71,8 @@ for _full, _shorts in NICKNAMES.items():
     for _form in (_full, *_shorts):
         _GIVEN_OF[_form] = (*_GIVEN_OF.get(_form, ()), _full)
 _WORD_OF = {w: (w, a) for a, ws in ACTIVITIES.items() for w in ws} | {w: (w, "") for w in FILLERS}
+_NEAR_WORDS = NearIndex(_WORD_OF)
+_NEAR_FULL, _NEAR_GIVEN = NearIndex(NICKNAMES), NearIndex([n for n in _GIVEN_OF if len(n) >= 4], 1)
 
 
 class Name(NamedTuple):
@@ -98,13 +100,10 @@ def _match_word(token: str, memo: dict) -> tuple[str, str] | None:
         fits = [w for w in _WORD_OF if w.startswith(bare)]
         found = _WORD_OF[fits[0]] if fits else None
     if not found and len(bare) >= 4:
-        close = [(d, w) for w in _WORD_OF if abs(len(w) - len(bare)) <= 2 and (d := typo_distance(bare, w, 1 if len(w) < 6 else 2)) <= (1 if len(w) < 6 else 2)]
-        if close and min(close)[0] <= (1 if len(bare) < 5 else 2):
-            found = _WORD_OF[min(close)[1]]
-    if not found and len(bare) >= 6:
-        likely = max((jaro_winkler(bare, w), w) for w in _WORD_OF)
-        if likely[0] >= 0.92:
-            found = _WORD_OF[likely[1]]
+        close = [(d, w) for d, w in _NEAR_WORDS.find(bare, 1 if len(bare) < 5 else 2) if d <= (1 if len(w) < 6 else 2)]
+        found = _WORD_OF[close[0][1]] if close else None
+    if not found and len(bare) >= 6 and (likely := _NEAR_WORDS.likely(bare, 0.92)):
+        found = _WORD_OF[likely]
     memo[token] = found
     return found
 
@@ -114,6 +113,7 @@ class NameReader:
 
     def __init__(self, places: frozenset[str] = frozenset(), towns: tuple[str, ...] = ("valdorsena",)) -> None:
         self.places, self.towns = places, frozenset(towns)
+        self.index = NearIndex(self.places | self.towns)
         self.words: dict = {}
         self.given: dict = {}
         self.near: dict = {}
@@ -122,17 +122,14 @@ class NameReader:
         if token not in self.given:
             found = _GIVEN_OF.get(token, ())
             if not found and len(token) >= 4:
-                close = [(d, g) for g in NICKNAMES if abs(len(g) - len(token)) <= 2 and (d := typo_distance(token, g)) <= 2]
-                if not close:
-                    close = [(d, g) for n, gs in _GIVEN_OF.items() if len(n) >= 4 and (d := typo_distance(token, n, 1)) <= 1 for g in gs]
-                found = tuple(sorted({g for d, g in close if d == min(close)[0]}))
+                close = _NEAR_FULL.find(token) or [(d, g) for d, n in _NEAR_GIVEN.find(token, 1) for g in _GIVEN_OF[n]]
+                found = tuple(sorted({g for d, g in close if d == close[0][0]}))
             self.given[token] = found
         return self.given[token]
 
     def _place(self, token: str) -> bool:
         if token not in self.near:
-            all_places = self.places | self.towns
-            self.near[token] = token in all_places or len(token) >= 6 and any(abs(len(p) - len(token)) <= 2 and typo_distance(token, p) <= 2 for p in all_places)
+            self.near[token] = token in self.places or token in self.towns or len(token) >= 6 and bool(self.index.find(token))
         return self.near[token]
 
     def read(self, text: str | None) -> Name | None:

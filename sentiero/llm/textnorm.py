@@ -97,3 +97,25 @@ def sound_code(word: str) -> str:
     for pattern, to in _SOUND:
         word = pattern.sub(to, word)
     return word[:1] + re.sub("[aeiou]", "", word[1:])
+
+
+class NearIndex:
+    """Finds the words of a fixed list that a token may stand for, by the letters both keep after deletions."""
+
+    def __init__(self, words, depth: int = 2) -> None:
+        self.depth, self.words = depth, {}
+        self.heads: dict[str, list[str]] = {}
+        for w in dict.fromkeys(words):
+            for v in deletions(w, depth):
+                self.words.setdefault(v, []).append(w)
+            self.heads.setdefault(w[:2], []).append(w)
+
+    def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
+        """(errors, word) of the words at most ``limit`` typing errors from ``token``, nearest first."""
+        near = {w for v in deletions(token, min(limit, self.depth)) for w in self.words.get(v, ())}
+        return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
+
+    def likely(self, token: str, least: float) -> str:
+        """The most similar word with the same first two letters, by Jaro-Winkler; "" under ``least``."""
+        best = max(((jaro_winkler(token, w), w) for w in self.heads.get(token[:2], ())), default=(0.0, ""))
+        return best[1] if best[0] >= least else ""
