@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .addresses import localities, same_address_pairs
 from .entity_match import match_entities
+from .mixing import mix, mix_report
 from .names import same_name_pairs
+from .packing import pack, packing_report
+from .section_profile import SECTION_FEATURES
+from .similarity_groups import describe, similarity_groups
+from .tokens import token_counts
+from .truncation import truncated, truncation_report
 
 CANDIDATES, RECORDS = "servizi_povo_candidati_match", "cultura_socialita_e_spazi_comuni"
 
@@ -52,8 +58,66 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_address_pairs(_addresses(spark, sf_dir)).select(F.col("a").alias("indirizzo_a"), F.col("b").alias("indirizzo_b"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of one group."""
+    pairs = similarity_groups(table(spark, sf_dir, "assegnazione_cluster_sezioni"), "sez21_id", SECTION_FEATURES).pairs
+    return pairs.select(F.col("a").alias("sez21_id_a"), F.col("b").alias("sez21_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of sections with their size and most typical members."""
+    return describe(similarity_groups(table(spark, sf_dir, "assegnazione_cluster_sezioni"), "sez21_id", SECTION_FEATURES).members)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of each notebook or piece, for each capacity, and the container's unused tokens."""
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = pack(sizes, table(spark, sf_dir, "containers"))
+    return packed.select("container_kind", "container", F.col("id").alias("doc_id"), "piece", "tokens", "unused")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused space by kind."""
+    return packing_report(pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "containers")))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection of notebooks with their repeats, in the order of their virtual finish time."""
+    sizes = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+    return mix(sizes, table(spark, sf_dir, "mix_targets")).select("source", F.col("id").alias("doc_id"), F.col("pass").alias("repeat"), "tokens", "finish")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares by source."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_report(mix(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), targets), targets)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notebooks whose stored text was cut."""
+    flags = truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return flags.where("truncated").select(F.col("id").alias("doc_id"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut notebooks by source."""
+    return truncation_report(truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_groups": p2_groups,
+        "p3_found": p3_found,
+        "p5_found": p5_found,
+        "p7_containers": p7_containers,
+        "p7_report": p7_report,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_report": p9_report,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
