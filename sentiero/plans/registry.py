@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_queries
+from . import core_queries, data_queries
 
-MODULES = (data_queries,)
+MODULES = (core_queries, data_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p4_found(spark, sf_dir)
+    return core_queries.index_composite_sections(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
