@@ -52,8 +52,7 @@ def near_words(words: DataFrame, least_similarity: float = 0.8) -> DataFrame:
 
     distinct = words.select("word").where(F.length("word") >= 5).distinct()
     coded = distinct.mapInPandas(codes, "word string, codes array<bigint>").select("word", F.explode("codes").alias("code"))
-    shared = coded.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("code")
-    coded = coded.join(shared, "code")
-    left, right = coded.select("code", F.col("word").alias("x")), coded.select("code", F.col("word").alias("y"))
-    pairs = left.join(right, "code").where(F.col("x") < F.col("y")).select("x", "y").distinct()
+    # One shuffle of the codes; a block holds the few words that are some letters apart, never all rows of a hot word.
+    blocks = coded.groupBy("code").agg(F.collect_list("word").alias("block")).where(F.size("block") > 1)
+    pairs = blocks.select(F.explode("block").alias("x"), "block").select("x", F.explode("block").alias("y")).where(F.col("x") < F.col("y")).distinct()
     return pairs.mapInPandas(compare, "a string, b string, d int")
