@@ -140,7 +140,8 @@ def squeeze(c: Column) -> Column:
 
 def decimal_comma(c: Column, digits: int = 1, unit: str = "", missing: str = "n.d.") -> Column:
     """Number with a decimal comma and a unit; ``missing`` for null."""
-    return F.coalesce(F.concat(F.replace(F.format_string(f"%.{digits}f", F.bround(c, digits)), F.lit("."), F.lit(",")), F.lit(unit)), F.lit(missing))
+    text = F.concat(F.replace(F.format_string(f"%.{digits}f", F.bround(c, digits)), F.lit("."), F.lit(",")), F.lit(unit))
+    return F.when(c.isNotNull(), text).otherwise(missing)
 
 
 def count_label(c: Column, one: str, many: str) -> Column:

@@ -128,6 +128,8 @@ def in_regions(points: DataFrame, rings: DataFrame, cell: float, block: int = 10
     spots = points.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("id").cast("bigint"), F.col("x").cast("double"), F.col("y").cast("double"))
     spots = spots.withColumn("strip", strip(F.col("x")))
     blocks = spots.groupBy("strip").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    spots = spots.join(blocks, "strip").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    edges = edges.join(blocks, "strip").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spots = spots.join(blocks, "strip").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    copies = blocks.select("strip", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    edges = edges.join(copies, "strip").select(*[F.col(c).alias(c) for c in ("strip", "part", "region", "x1", "y1", "x2", "y2")])
+    spots = spots.select(*[F.col(c).alias(c) for c in ("strip", "part", "id", "x", "y")])
     return spots.groupBy("strip", "part").cogroup(edges.groupBy("strip", "part")).applyInPandas(lambda a, b: _sweep(a, b), "id bigint, region bigint")
