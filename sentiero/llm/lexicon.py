@@ -50,7 +50,9 @@ def near_words(words: DataFrame, least_similarity: float = 0.8) -> DataFrame:
                     d += [far, far]
             yield pd.DataFrame({"a": a, "b": b, "d": pd.array(d, dtype="int32")})
 
-    distinct = words.select("word").where(F.length("word") >= 5).distinct()
+    # Codes are about fifty for a word, so the few bytes of words are dealt out to all tasks first.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = words.select("word").where(F.length("word") >= 5).distinct().repartition(tasks)
     coded = distinct.mapInPandas(codes, "word string, codes array<bigint>").select("word", F.explode("codes").alias("code"))
     # One shuffle of the codes; a block holds the few words that are some letters apart, never all rows of a hot word.
     blocks = coded.groupBy("code").agg(F.collect_list("word").alias("block")).where(F.size("block") > 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 _APOSTROPHES = str.maketrans({"’": "'", "‘": "'", "`": "'", "´": "'", "º": "°", "–": "-", "—": "-", " ": " ", "“": '"', "”": '"'})
 _KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -80,13 +81,14 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def deletions(word: str, depth: int) -> set[str]:
-    """The word and all strings made of it by taking away up to ``depth`` letters."""
+@lru_cache(maxsize=256)
+def deletions(word: str, depth: int) -> frozenset[str]:
+    """The word and all strings made of it by taking away up to ``depth`` letters, down to three."""
     found, last = {word}, {word}
     for _ in range(depth):
         last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w)) if len(w) > 3}
         found |= last
-    return found
+    return frozenset(found)
 
 
 _SOUND = ((re.compile(r"(.)\1+"), r"\1"), (re.compile("ph"), "f"), (re.compile("[kq]|c(?=[^eih]|$)|ch"), "k"), (re.compile("[jy]"), "i"), (re.compile("w"), "v"), (re.compile("h"), ""), (re.compile("z"), "s"), (re.compile("[gj](?=[ei])"), "c"))
@@ -112,7 +114,8 @@ class NearIndex:
 
     def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
         """(errors, word) of the words at most ``limit`` typing errors from ``token``, nearest first."""
-        near = {w for v in deletions(token, min(limit, self.depth)) for w in self.words.get(v, ())}
+        words = self.words
+        near = {w for v in deletions(token, self.depth) if v in words for w in words[v]}
         return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
 
     def likely(self, token: str, least: float) -> str:
