@@ -53,8 +53,10 @@ def _inside(lat: Column, lon: Column, region: Region) -> Column:
 
 def _pointed(value: Column, low: float, high: float) -> Column:
     """``value`` with its decimal point put back so that it falls into [low, high]; null where no place fits."""
-    scaled = F.array(*[value / (10.0**k) for k in range(1, 13)])
-    return F.get(F.filter(scaled, lambda v: v.between(low, high)), F.lit(0))
+    most = max(abs(low), abs(high))
+    k = F.greatest(F.lit(1.0), F.ceil(F.log10(F.abs(value) / most)))
+    once, more = value / F.pow(F.lit(10.0), k), value / F.pow(F.lit(10.0), k + 1)
+    return F.when(once.between(low, high), once).when(more.between(low, high), more)
 
 
 def position_of(lat: Column, lon: Column, region: Region | None) -> Column:
@@ -63,7 +65,12 @@ def position_of(lat: Column, lon: Column, region: Region | None) -> Column:
     As written where both are degrees and inside the usual region; else swapped, else with lost decimal points put back,
     where that brings the pair into the region; else as written. (0, 0), NaN and anything beyond the globe are unusable.
     """
-    a, o = F.nanvl(lat.cast("double"), F.lit(None).cast("double")), F.nanvl(lon.cast("double"), F.lit(None).cast("double"))
+    both = F.struct(F.nanvl(lat.cast("double"), F.lit(None).cast("double")).alias("a"), F.nanvl(lon.cast("double"), F.lit(None).cast("double")).alias("o"))
+    # A lambda's variable holds the pair, so the expressions that read it are not repeated in every branch.
+    return F.get(F.transform(F.array(both), lambda p: _meant(p["a"], p["o"], region)), F.lit(0))
+
+
+def _meant(a: Column, o: Column, region: Region | None) -> Column:
     pair = lambda x, y: F.struct(x.alias("lat"), y.alias("lon"))
     on_globe = a.between(-90, 90) & o.between(-180, 180) & ~((a == 0) & (o == 0))
     out = F.when(a.isNull() | o.isNull(), F.lit(None))

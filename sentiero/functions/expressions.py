@@ -183,3 +183,18 @@ def mean_of(*cs: Column, default: float = 50.0) -> Column:
     n = sum((c.isNotNull().cast("int") for c in cs[1:]), cs[0].isNotNull().cast("int"))
     total = sum((F.coalesce(c, F.lit(0.0)) for c in cs[1:]), F.coalesce(cs[0], F.lit(0.0)))
     return F.when(n > 0, total / n).otherwise(default)
+
+
+def date_in_title(title: Column) -> Column:
+    """The text after the last " di " of a title, null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(title, r" di (.+)$", 1)), F.lit(""))
+
+
+def add_missing(df, aliases: dict[str, str]):
+    """``df`` with each alias as a copy of its column, where the alias isn't there yet and the column is."""
+    return df.withColumns({a: F.col(c) for a, c in aliases.items() if a not in df.columns and c in df.columns})
+
+
+def has_items(values: Column) -> Column:
+    """Whether an array holds anything; false for null."""
+    return F.coalesce(F.size(values) > 0, F.lit(False))

@@ -134,3 +134,62 @@ def to_degrees(x: Column, y: Column, central_meridian: float = 9.0) -> Column:
     phi = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA[1:], 2)), _DELTA[0] * F.sin(2 * chi))
     lam = F.atan2(F.sinh(eta1), F.cos(xi1))
     return F.struct(F.degrees(phi).alias("lat"), (F.degrees(lam) + central_meridian).alias("lon"))
+
+
+def covering_circles(south: float, north: float, west: float, east: float, radius_m: float):
+    """Row and column counts and steps (rows, columns, dlat, dlon) of staggered circles that cover a box."""
+    dlat = radius_m * 1.5 / 111_320.0
+    dlon = radius_m * math.sqrt(3) / (111_320.0 * math.cos(math.radians((south + north) / 2)))
+    return max(1, math.ceil((north - south) / dlat) + 1), max(1, math.ceil((east - west) / dlon) + 2), dlat, dlon
+
+
+def covering_grid(spark, south: float, north: float, west: float, east: float, radius_m: float):
+    """(lat, lon) centres of staggered circles of ``radius_m`` that cover a box."""
+    rows, columns, dlat, dlon = covering_circles(south, north, west, east, radius_m)
+    grid = spark.range(rows * columns).select(F.floor(F.col("id") / columns).alias("r"), (F.col("id") % columns).alias("c"))
+    shift = F.when(F.col("r") % 2 == 1, 0.5).otherwise(0.0)
+    return grid.select((F.lit(south) + F.col("r") * dlat).alias("lat"), (F.lit(west) + (F.col("c") - shift) * dlon).alias("lon"))
+
+
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise from the leftmost; collinear points left out."""
+    p = sorted(set(points))
+    if len(p) < 3:
+        return p
+    half = []
+    for way in (p, p[::-1]):
+        chain: list[tuple[float, float]] = []
+        for q in way:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(q)
+        half.append(chain[:-1])
+    return half[0] + half[1]
+
+
+def convex_hulls(points, key: str):
+    """(key, hull): convex hull of the points (key, x, y) of each key.
+
+    Hulls of blocks come first and the hull of their corners after, so no key's points meet in one task.
+    """
+    import pandas as pd
+
+    kind = points.schema[key].dataType.simpleString()
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(g[key].iloc[0], x, y) for x, y in hull(list(zip(g["x"], g["y"], strict=True)))], columns=[key, "x", "y"])
+
+    blocks = points.select(key, F.col("x").cast("double"), F.col("y").cast("double")).withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(64)))
+    corners = blocks.groupBy(key, "b").applyInPandas(of, f"{key} {kind}, x double, y double")
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [g[key].iloc[0]], "hull": [[{"x": x, "y": y} for x, y in hull(list(zip(g["x"], g["y"], strict=True)))]]})
+
+    return corners.groupBy(key).applyInPandas(whole, f"{key} {kind}, hull array<struct<x:double,y:double>>")
+
+
+def is_simple_ring(ring: Column) -> Column:
+    """Whether a ring has three different corners and area and none of its edges cross: others are set aside for repair."""
+    e = _edges(ring)
+    crossing = F.exists(e, lambda p: F.exists(e, lambda q: (_side(p["a"], p["b"], q["a"]) * _side(p["a"], p["b"], q["b"]) < 0) & (_side(q["a"], q["b"], p["a"]) * _side(q["a"], q["b"], p["b"]) < 0)))
+    return (F.size(F.array_distinct(ring)) >= 3) & (signed_area(ring) != 0) & ~crossing

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import tobler_kmh
@@ -16,8 +16,6 @@ def densify(lines: DataFrame, step: float = 25.0) -> DataFrame:
     at = lines.withColumn("len", line_length(F.col("line"))).withColumn("n", F.greatest(F.lit(2), F.floor(F.col("len") / step).cast("int") + 1))
     legs = at.select("line_id", "len", "n", F.posexplode(F.arrays_zip(F.slice("line", F.lit(1), F.size("line") - 1).alias("a"), F.slice("line", F.lit(2), F.size("line") - 1).alias("b"))).alias("leg", "s"))
     legs = legs.withColumn("dx", F.col("s.b.x") - F.col("s.a.x")).withColumn("dy", F.col("s.b.y") - F.col("s.a.y")).withColumn("l", F.hypot("dx", "dy"))
-    from pyspark.sql import Window
-
     upto = F.sum("l").over(Window.partitionBy("line_id").orderBy("leg").rowsBetween(Window.unboundedPreceding, 0))
     legs = legs.withColumn("end", upto).withColumn("start", F.col("end") - F.col("l"))
     points = at.select("line_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"), "n", "len").withColumn("d", F.col("len") * F.col("seq") / (F.col("n") - 1))
@@ -62,7 +60,7 @@ def repaired_weights(edges: DataFrame, missing: str = "estimate") -> DataFrame:
 def largest_component(edges: DataFrame) -> DataFrame:
     """Edges within the weakly connected component of most vertices (the smallest name on ties)."""
     parts = stage(connected_components(edges))
-    best = parts.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", F.struct(F.lit(0)))).alias("x"), F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component")).select("component")
+    best = parts.groupBy("component").agg(F.count("*").alias("n")).agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
     inside = parts.join(F.broadcast(best), "component", "left_semi").select(F.col("id").alias("src"))
     return edges.join(inside, "src", "left_semi")
 
@@ -124,3 +122,14 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, most: float |
             break
         size *= 2
     return out if most is None else out.where(F.col("metri") <= most)
+
+
+def best_stop_of_node(stops: DataFrame) -> DataFrame:
+    """(node, stop_id): the stop with the most passages of each node, the smaller id on ties."""
+    return stops.groupBy("node").agg(F.max_by("stop_id", F.struct("passaggi", -F.col("ord"))).alias("stop_id"))
+
+
+def edge_times(edges: DataFrame, times: DataFrame) -> DataFrame:
+    """(src, dst, media): mean of the times (id, t) of an edge's two ends."""
+    a, b = times.select(F.col("id").alias("src"), F.col("t").alias("ta")), times.select(F.col("id").alias("dst"), F.col("t").alias("tb"))
+    return edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", ((F.col("ta") + F.col("tb")) / 2).alias("media"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kdtree import Splits, chord, haversine_m, pairs_within, unit_vectors
-from ..runtime import width
+from ..runtime import stage, width
 
 #: Rows of the sample that only places the split planes; every row takes part in the search.
 SAMPLE_ROWS = 20_000
@@ -53,6 +53,7 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, leaf_point
     Null ids or positions give no pair; repeated rows give one; empty tables give none.
     """
     spots_l, spots_r = (d.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", F.col("lat").cast("double"), F.col("lon").cast("double")).distinct() for d in (left, right))
+    spots_l, spots_r = stage(spots_l), stage(spots_r)  # read four times below
     kind_l, kind_r = (d.schema["id"].dataType.simpleString() for d in (left, right))
     places_l = spots_l.select(F.struct("lat", "lon").alias("id"), "lat", "lon").distinct()
     places_r = spots_r.select(F.struct("lat", "lon").alias("id"), "lat", "lon").distinct()

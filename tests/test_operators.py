@@ -302,3 +302,23 @@ def test_sinks_and_stream(spark, tmp_path):
     batch = {tuple(r) for r in windowed_passages(src, "t", "key").collect()}
     stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "s"))
     assert {tuple(r) for r in run_to_end(windowed_passages(stream, "t", "key"), "passages_test", str(tmp_path / "c")).collect()} == batch
+
+
+def test_small_operators(spark):
+    assert one(spark, X.date_in_title(F.lit("Seduta di lunedì 3 marzo"))) == "lunedì 3 marzo" and one(spark, X.date_in_title(F.lit("Seduta"))) is None
+    assert X.add_missing(spark.createDataFrame([(1, 2)], "lat int, x int"), {"latitude": "lat", "x": "lat", "z": "none"}).columns == ["lat", "x", "latitude"]
+    pts = spark.createDataFrame([("a", float(x), float(y)) for x in range(9) for y in range(9)] + [("b", 1.0, 1.0)], "k string, x double, y double")
+    hulls = {r["k"]: {tuple(p) for p in r["hull"]} for r in G.convex_hulls(pts, "k").collect()}
+    assert hulls == {"a": {(0, 0), (8, 0), (8, 8), (0, 8)}, "b": {(1, 1)}}
+    ring = lambda *ps: F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ps])
+    assert one(spark, G.is_simple_ring(ring((0, 0), (2, 0), (2, 2)))) and not one(spark, G.is_simple_ring(ring((0, 0), (2, 2), (2, 0), (0, 2))))
+    grid = [tuple(r) for r in G.covering_grid(spark, 42.0, 42.02, 7.0, 7.03, 400.0).collect()]
+    from sentiero.functions.kdtree import haversine_m
+
+    for lat in np.linspace(42.0, 42.02, 9):
+        for lon in np.linspace(7.0, 7.03, 9):
+            assert min(haversine_m(np.array([g[0] for g in grid]), np.array([g[1] for g in grid]), lat, lon)) <= 401
+    stops = spark.createDataFrame([("n", "s1", 5, 1), ("n", "s2", 5, 2), ("m", "s3", 1, 3)], "node string, stop_id string, passaggi int, ord int")
+    assert {tuple(r) for r in graph.best_stop_of_node(stops).collect()} == {("n", "s1"), ("m", "s3")}
+    e = graph.edge_times(spark.createDataFrame([(1, 2)], "src int, dst int"), spark.createDataFrame([(1, 4.0), (2, 8.0)], "id int, t double"))
+    assert e.first()["media"] == 6.0
