@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import join_key
@@ -48,8 +48,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def join_first(left: DataFrame, right: DataFrame, key: str, order: str, suffixes: tuple[str, str] = ("_geo", "_istat"), flag: str = "trovato") -> DataFrame:
     """Left join to the first right row of each normalised key; clashing names get suffixes, ``flag`` tells matches."""
-    w = Window.partitionBy("__key").orderBy(order)
-    first = right.withColumn("__key", join_key(F.col(key))).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    # The first row by partial aggregation: a key that is very frequent isn't sorted in one task.
+    first = right.groupBy(join_key(F.col(key)).alias("__key")).agg(F.min_by(F.struct(*right.columns), order).alias("__row")).where(F.col("__key").isNotNull()).select("__key", "__row.*")
     clash = set(left.columns) & set(right.columns)
     mine = left.select(join_key(F.col(key)).alias("__key"), *[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in left.columns])
     theirs = first.select("__key", *[F.col(c).alias(c + suffixes[1] if c in clash else c) for c in right.columns], F.lit(True).alias(flag))

@@ -123,12 +123,16 @@ def numbered_names(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
 
 
 def top_per_key(df: DataFrame, key: Sequence[str], score: str, tie: Column, k: int) -> DataFrame:
-    """The ``k`` best rows of each key with rank and gap to the next score (0 counts as the score after the last)."""
+    """The ``k`` best rows of each key with rank and gap to the next score (0 counts as the score after the last).
+
+    The k + 1 best are taken first, by a limit that is applied before the shuffle too; the gap is seen among those.
+    """
     w = Window.partitionBy(*key).orderBy(F.desc(score), tie)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("gap", F.col(score) - F.lead(score, 1, 0.0).over(w)).where(F.col("rank") <= k)
+    best = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    by_rank = Window.partitionBy(*key).orderBy("rank")
+    return best.withColumn("gap", F.col(score) - F.lead(score, 1, 0.0).over(by_rank)).where(F.col("rank") <= k)
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """First row in ``order`` of each key combination, nulls alike."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """First row in ``order`` of each key combination, nulls alike, by partial aggregation."""
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")

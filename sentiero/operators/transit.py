@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import weekday
+from ..runtime import stage
 from .components import connected_components
 from .nearby import within_distance
 
@@ -81,18 +82,25 @@ def trip_lines(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
     return at.where(F.size("p") >= 2).select("trip_id", F.transform("p", lambda p: F.struct(p["x"], p["y"])).alias("line"))
 
 
-def merge_stops(stops: DataFrame, metres: float = 35.0) -> DataFrame:
+#: Stops of one chain that are merged in one task; longer chains are merged by rounds over all tasks.
+CHAIN_STOPS = 50_000
+
+
+def merge_stops(stops: DataFrame, metres: float = 35.0, chain_stops: int = CHAIN_STOPS) -> DataFrame:
     """(id, cluster): stops (id bigint, ord bigint, x, y in metres) merged greedily around seeds in order of ``ord``.
 
     The first free stop in order is a seed and takes every free stop within ``metres`` of it; clusters are numbered by
     their seed's order. That is sequential only among stops linked by chains of near stops: pairs within reach come
-    from a grid of cells, connected components keep such chains apart, and each component is merged in one task.
+    from a grid of cells and connected components keep such chains apart. A chain of up to ``chain_stops`` is merged in
+    one task. In longer ones a stop becomes a seed once all earlier stops near it are taken, round by round.
     """
     cell = F.lit(float(metres))
     spots = stops.select("id", "ord", F.col("x").cast("double"), F.col("y").cast("double"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    around = spots.select("id", "ord", "x", "y", F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "c.cx", "c.cy")
-    near = spots.join(around, ["cx", "cy"]).where((F.col("id") <= F.col("b")) & ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= metres**2))
-    groups = connected_components(near.select(F.col("id").alias("src"), F.col("b").alias("dst")))
+    around = spots.select("ord", "id", "x", "y", F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(F.col("id").alias("b"), F.col("ord").alias("bo"), F.col("x").alias("bx"), F.col("y").alias("by"), "c.cx", "c.cy")
+    near = stage(spots.join(around, ["cx", "cy"]).where((F.col("ord") <= F.col("bo")) & ((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= metres**2)).select(F.col("id").alias("a"), F.col("ord").alias("ao"), "b", "bo"))
+    groups = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    size = groups.groupBy("component").agg(F.count("*").alias("n"))
+    sized = stage(groups.join(size, "component"))
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("ord", kind="stable")
@@ -105,8 +113,30 @@ def merge_stops(stops: DataFrame, metres: float = 35.0) -> DataFrame:
                 free[mine] = False
         return pd.DataFrame({"id": g["id"].to_numpy(), "seed": seed})
 
-    each = spots.join(groups, "id").groupBy("component").applyInPandas(merge, "id bigint, seed bigint")
-    return each.select("id", F.col("seed").alias("cluster"))
+    short = sized.where(F.col("n") <= chain_stops).select("id", "component")
+    merged = spots.select("id", "ord", "x", "y").join(short, "id").groupBy("component").applyInPandas(merge, "id bigint, seed bigint").select("id", F.col("seed").alias("cluster"))
+    long = sized.where(F.col("n") > chain_stops).select("id")
+    if not long.limit(1).count():
+        return merged
+    pairs = stage(near.join(long.select(F.col("id").alias("a")), "a", "left_semi"))
+    free = stage(pairs.where("a = b").select(F.col("a").alias("id"), F.col("ao").alias("ord")))
+    done, seeds = None, None
+    while free.limit(1).count():
+        # Free stops without an earlier free stop near them are seeds from now on; seeds take the free stops near them.
+        of_free = pairs.join(free.select(F.col("id").alias("b")), "b", "left_semi")
+        both_free = of_free.join(free.select(F.col("id").alias("a")), "a", "left_semi")
+        fresh = both_free.groupBy("b").agg(F.min("ao").alias("first"), F.max(F.when(F.col("a") == F.col("b"), F.col("bo"))).alias("own")).where("first = own").select(F.col("b").alias("a"))
+        # A stop near an earlier seed that it still waited for isn't fresh: it has a taker already.
+        if seeds is not None:
+            fresh = fresh.join(of_free.join(seeds, "a", "left_semi").select(F.col("b").alias("a")), "a", "left_anti")
+        seeds = stage(fresh if seeds is None else seeds.unionByName(fresh))
+        takers = of_free.join(seeds, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("ao").alias("cluster"))
+        # While an undecided stop comes before the taker, it may become the taker instead.
+        waits = both_free.where("a <> b").join(seeds, "a", "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("ao").alias("undecided"))
+        taken = stage(takers.join(waits, "id", "left").where(F.col("undecided").isNull() | (F.col("cluster") < F.col("undecided"))).select("id", "cluster"))
+        done = taken if done is None else done.unionByName(taken)
+        free = stage(free.join(taken, "id", "left_anti"))
+    return merged.unionByName(done)
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

@@ -132,6 +132,7 @@ def test_greedy_merge_isn_t_transitive(spark):
                     want[j] = i
                     del free[j]
     assert got == want and len({want[500 + i] for i in range(6)}) == 3
+    assert {r["id"]: r["cluster"] for r in transit.merge_stops(df, 35.0, chain_stops=3).collect()} == want
 
 
 def test_components_and_paths(spark):
