@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,29 +32,36 @@ def near_words(words: DataFrame, least_similarity: float = 0.8) -> DataFrame:
     rows. Accepted are pairs within the error limit and of Jaro-Winkler similarity ``least_similarity`` or more. Null words give nothing.
     """
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    coded_schema = pa.schema([("word", pa.string()), ("codes", pa.list_(pa.int64()))])
+    pair_schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("d", pa.int32())])
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            keys = [[digest(v.encode()) - (1 << 63) for v in deletions(rendering(w), limit_for(w))] for w in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "codes": keys})
+            flat, ends = [], [0]
+            for w in batch.column(0).to_pylist():
+                flat += [digest(v) - (1 << 63) for v in deletions(rendering(w), limit_for(w))]
+                ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), lists.cast(coded_schema.field(1).type)], schema=coded_schema)
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, d = [], [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 limit = min(limit_for(x), limit_for(y))
                 far = typo_distance(x, y, limit)
                 if far <= limit and jaro_winkler(x, y) >= least_similarity:
                     a += [x, y]
                     b += [y, x]
                     d += [far, far]
-            yield pd.DataFrame({"a": a, "b": b, "d": pd.array(d, dtype="int32")})
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(d, pa.int32())], schema=pair_schema)
 
     # Codes are about fifty for a word, so the few bytes of words are dealt out to all tasks first.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = words.select("word").where(F.length("word") >= 5).distinct().repartition(tasks)
-    coded = distinct.mapInPandas(codes, "word string, codes array<bigint>").select("word", F.explode("codes").alias("code"))
+    coded = distinct.mapInArrow(codes, "word string, codes array<bigint>").select("word", F.explode("codes").alias("code"))
     # One shuffle of the codes; a block holds the few words that are some letters apart, never all rows of a hot word.
     blocks = coded.groupBy("code").agg(F.collect_list("word").alias("block")).where(F.size("block") > 1)
     pairs = blocks.select(F.explode("block").alias("x"), "block").select("x", F.explode("block").alias("y")).where(F.col("x") < F.col("y")).distinct()
-    return pairs.mapInPandas(compare, "a string, b string, d int")
+    return pairs.mapInArrow(compare, "a string, b string, d int")

@@ -72,6 +72,10 @@ for _full, _shorts in NICKNAMES.items():
         _GIVEN_OF[_form] = (*_GIVEN_OF.get(_form, ()), _full)
 _WORD_OF = {w: (w, a) for a, ws in ACTIVITIES.items() for w in ws} | {w: (w, "") for w in FILLERS}
 _NEAR_WORDS = NearIndex(_WORD_OF)
+_BEGINS: dict[str, str] = {}
+for _w in _WORD_OF:
+    for _n in range(3, len(_w) + 1):
+        _BEGINS.setdefault(_w[:_n], _w)
 _NEAR_FULL, _NEAR_GIVEN = NearIndex(NICKNAMES), NearIndex([n for n in _GIVEN_OF if len(n) >= 4], 1)
 
 
@@ -94,11 +98,9 @@ def _match_word(token: str, memo: dict) -> tuple[str, str] | None:
         fits = [w for w in _WORD_OF if w.startswith(head) and w.endswith(tail) and len(w) > len(bare)]
         found = _WORD_OF[SHORT[bare]] if bare in SHORT else _WORD_OF[fits[0]] if fits else None
     elif token.endswith(".") or bare in ("bnd", "grp"):
-        fits = [w for w in _WORD_OF if w.startswith(bare) and len(bare) >= 3]
-        found = _WORD_OF[SHORT[bare]] if bare in SHORT else _WORD_OF[fits[0]] if fits else None
-    if not found and len(bare) >= 5:
-        fits = [w for w in _WORD_OF if w.startswith(bare)]
-        found = _WORD_OF[fits[0]] if fits else None
+        found = _WORD_OF[SHORT[bare]] if bare in SHORT else _WORD_OF[_BEGINS[bare]] if bare in _BEGINS else None
+    if not found and len(bare) >= 5 and bare in _BEGINS:
+        found = _WORD_OF[_BEGINS[bare]]
     if not found and len(bare) >= 4:
         close = [(d, w) for d, w in _NEAR_WORDS.find(bare, 1 if len(bare) < 5 else 2) if d <= (1 if len(w) < 6 else 2)]
         found = _WORD_OF[close[0][1]] if close else None

@@ -22,7 +22,10 @@ ADJACENT = _adjacent_keys() | {(x, y) for pair in _ALIKE.split() for x, y in (pa
 
 def fold(text: str) -> str:
     """Lower case, no accents, typographic quotes and dashes unified, no-break blanks as blanks."""
-    text = unicodedata.normalize("NFKD", text.translate(_APOSTROPHES).lower())
+    text = text.lower()
+    if text.isascii():
+        return text.replace("`", "'")
+    text = unicodedata.normalize("NFKD", text.translate(_APOSTROPHES))
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
@@ -36,6 +39,16 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
         return 0
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    # What both begin and end with costs nothing.
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return min(len(a) + len(b), limit + 1)
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -84,23 +97,15 @@ def jaro_winkler(a: str, b: str) -> float:
 @lru_cache(maxsize=256)
 def deletions(word: str, depth: int) -> frozenset[str]:
     """The word and all strings made of it by taking away up to ``depth`` letters, down to three."""
-    found, last = {word}, {word}
-    for _ in range(depth):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w)) if len(w) > 3}
-        found |= last
+    n = len(word)
+    found = {word}
+    if depth >= 1 and n > 3:
+        found.update([word[:i] + word[i + 1 :] for i in range(n)])
+    if depth >= 2 and n > 4:
+        found.update([word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(n - 1) for j in range(i + 1, n)])
     return frozenset(found)
 
 
-_SOUND = ((re.compile(r"(.)\1+"), r"\1"), (re.compile("ph"), "f"), (re.compile("[kq]|c(?=[^eih]|$)|ch"), "k"), (re.compile("[jy]"), "i"), (re.compile("w"), "v"), (re.compile("h"), ""), (re.compile("z"), "s"), (re.compile("[gj](?=[ei])"), "c"))
-
-
-def sound_code(word: str) -> str:
-    """Phonetic code for Italian: consonant classes without vowels after the first letter, no doubled letters."""
-    for pattern, to in _SOUND:
-        word = pattern.sub(to, word)
-    return word[:1] + re.sub("[aeiou]", "", word[1:])
-
-
 class NearIndex:
     """Finds the words of a fixed list that a token may stand for, by the letters both keep after deletions."""
 
