@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnorm import deletions, jaro_winkler, typo_distance
+from .textnorm import LONG_WORD, deletions, jaro_winkler, typo_distance
 
 _SOUNDS = str.maketrans({"k": "c", "q": "c", "j": "i", "y": "i", "w": "v", "0": "o", "1": "i"})
 
@@ -20,8 +20,8 @@ def rendering(word: str) -> str:
 
 
 def limit_for(word: str) -> int:
-    """How many typing errors a word of this length may hold."""
-    return 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
+    """How many typing errors a word of this length may hold; very long ones have to agree."""
+    return 0 if len(word) > LONG_WORD else 2 if len(word) >= 7 else 1 if len(word) >= 5 else 0
 
 
 def near_words(words: DataFrame, least_similarity: float = 0.8) -> DataFrame:

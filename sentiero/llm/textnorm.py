@@ -20,6 +20,10 @@ _ALIKE = "o0 i1 l1 ae ei ou bp dt mn sz cg fv"
 ADJACENT = _adjacent_keys() | {(x, y) for pair in _ALIKE.split() for x, y in (pair, pair[::-1])}
 
 
+#: Letters above which a word is no word people type: it is then like another only if it is the same.
+LONG_WORD = 40
+
+
 def fold(text: str) -> str:
     """Lower case, no accents, typographic quotes and dashes unified, no-break blanks as blanks."""
     text = text.lower()
@@ -37,7 +41,7 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
     """
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit:
+    if abs(len(a) - len(b)) > limit or len(a) > LONG_WORD or len(b) > LONG_WORD:
         return limit + 1
     # What both begin and end with costs nothing.
     i, n = 0, min(len(a), len(b))
@@ -68,10 +72,10 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity (prefix weight 0.1, at most four letters)."""
+    """Jaro-Winkler similarity (prefix weight 0.1, at most four letters); 0 for different texts over ``LONG_WORD``."""
     if a == b:
         return 1.0
-    if not a or not b:
+    if not a or not b or len(a) > LONG_WORD or len(b) > LONG_WORD:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     taken, left = [False] * len(b), []
@@ -112,6 +116,7 @@ class NearIndex:
     def __init__(self, words, depth: int = 2) -> None:
         self.depth, self.words = depth, {}
         self.heads: dict[str, list[str]] = {}
+        self.longest = max(map(len, words), default=0)
         for w in dict.fromkeys(words):
             for v in deletions(w, depth):
                 self.words.setdefault(v, []).append(w)
@@ -120,6 +125,8 @@ class NearIndex:
     def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
         """(errors, word) of the words at most ``limit`` typing errors from ``token``, nearest first."""
         words = self.words
+        if len(token) > self.longest + self.depth:
+            return []
         near = {w for v in deletions(token, self.depth) if v in words for w in words[v]}
         return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
 
