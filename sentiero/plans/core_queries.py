@@ -114,7 +114,7 @@ SELECT user_id, count(*) AS passaggi, round_even(min(s), 3) AS prima_s, round_ev
 FROM w GROUP BY user_id""")
 def stop_passages_headway(spark: SparkSession, d: str) -> DataFrame:
     """Passages, headway and line list per key within a closed time window (A1 A2 P5)."""
-    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("line"), (F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86_400_000_000)) / 1_000_000).alias("seconds"))
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("line"), (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), F.col("ts")).cast("double")).alias("seconds"))
     p = transit.stop_passages(e, 25_200, 72_000, ["user_id"])
     return p.select("user_id", "passaggi", F.bround("prima_s", 3).alias("prima_s"), F.bround("ultima_s", 3).alias("ultima_s"), F.bround("frequenza_media_min", 4).alias("frequenza_media_min"), "linee")
 
@@ -393,12 +393,12 @@ def json_elements(spark: SparkSession, d: str) -> DataFrame:
     return readers.osm_elements(raw).select(F.col("id").alias("p_partkey"), "name", "lat", "lon")
 
 
-@query("""SELECT cluster_v3, count(*) AS n, round_even(avg(popolazione_rif), 4) AS popolazione_rif, round_even(avg(servizi_15_min), 4) AS servizi_15_min FROM (SELECT DISTINCT sez21_id, cluster_v3, popolazione_rif, servizi_15_min FROM assegnazione_cluster_sezioni) GROUP BY cluster_v3""")
+@query("""SELECT cluster_v3, count(*) AS n, round_even(avg(popolazione_rif), 4) AS popolazione_rif, round_even(avg(servizi_15_min), 4) AS servizi_15_min FROM (SELECT DISTINCT sez21_id, cluster_v3, popolazione_rif, servizi_15_min FROM assegnazione_cluster_sezioni WHERE cluster_v3 IS NOT NULL) GROUP BY cluster_v3""")
 def cluster_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Means and sizes by cluster."""
     from ..operators.clustering import profiles
 
-    a = table(spark, d, "assegnazione_cluster_sezioni").select("sez21_id", "cluster_v3", "popolazione_rif", "servizi_15_min").distinct()
+    a = table(spark, d, "assegnazione_cluster_sezioni").select("sez21_id", "cluster_v3", "popolazione_rif", "servizi_15_min").where("cluster_v3 is not null").distinct()
     return profiles(a, "cluster_v3", ["popolazione_rif", "servizi_15_min"]).select("cluster_v3", "n", F.bround("popolazione_rif", 4).alias("popolazione_rif"), F.bround("servizi_15_min", 4).alias("servizi_15_min"))
 
 
@@ -462,12 +462,14 @@ def routes_near(spark: SparkSession, d: str) -> DataFrame:
     return transit.routes_near(table(spark, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("stop_id")), table(spark, d, "lineitem").select(F.col("l_suppkey").alias("stop_id"), F.col("l_orderkey").alias("trip_id")), table(spark, d, "orders").select(F.col("o_orderkey").alias("trip_id"), F.col("o_custkey").alias("route_id")))
 
 
-@query("""SELECT date_trunc('hour', ts) AS finestra, event_type, count(*) AS passaggi, min(ts) AS prima, max(ts) AS ultima FROM events GROUP BY 1, 2""")
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS finestra, event_type, count(*) AS passaggi, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS prima, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ultima FROM events GROUP BY date_trunc('hour', ts), event_type""")
 def windowed_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages per hour and key; the same plan runs as a stream (extension of A1)."""
     from ..streaming.passages import windowed_passages as windowed
 
-    return windowed(table(spark, d, "events"), "ts", "event_type")
+    w = windowed(table(spark, d, "events"), "ts", "event_type")
+    exact = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return w.select(F.date_format("finestra", exact[:19]).alias("finestra"), "event_type", "passaggi", F.date_format("prima", exact).alias("prima"), F.date_format("ultima", exact).alias("ultima"))
 
 
 def queries() -> dict[str, Query]:
