@@ -228,6 +228,30 @@ def test_fuzzy_scores():
             assert matching.indel_ratio(a, b) == pytest.approx(200 * row[-1][-1] / (len(a) + len(b)))
 
 
+def test_fuzzy_candidates_against_all_pairs(spark):
+    rnd = random.Random(5)
+    proper = ["".join(rnd.choice("abdefilmoprstuvz") for _ in range(rnd.randrange(4, 11))) for _ in range(25)]
+    kinds = ["circolo ricreativo", "associazione sportiva", "bar", "soc coop soc", "", "farmacia", "scuola dell infanzia"]
+
+    def text():
+        w = list(rnd.choice(proper))
+        if rnd.random() < 0.3:
+            w[rnd.randrange(len(w))] = rnd.choice("aeiou")
+        return f"{rnd.choice(kinds)} {''.join(w)} {rnd.choice(['', '', rnd.choice(proper)])}".strip().replace("  ", " ")
+
+    def place():
+        return rnd.choice(["", f"via {rnd.choice(proper)} {rnd.randrange(30)}", f"{rnd.choice(proper)} piazza {rnd.choice(proper)} n 3"])
+
+    s = [(i, text(), place()) for i in range(80)] + [(100, "circolo ricreativo zudicefoto", ""), (101, "", ""), (102, "a" * 70, "via b 1"), (103, "associazione sportiva ribelodife", "")]
+    p = [(i, text(), place()) for i in range(400)] + [(5043, "zudicefoto", ""), (3523, "ribelodife", ""), (3524, "", "via b 1"), (3525, "a" * 69, "")]
+    got = {}
+    for r in matching.fuzzy_candidates(spark.createDataFrame(s, "service_row int, name string, address string"), spark.createDataFrame(p, "poi_id int, name string, address string"), 60.0, 5).orderBy("service_row", "rank").collect():
+        got.setdefault(r["service_row"], []).append((r["score"], r["poi_id"]))
+    for row, name, address in s:
+        want = sorted(((round(matching.pair_score(name, address, n, a), 6), i) for i, n, a in p), reverse=True)
+        assert got.get(row, []) == [w for w in want if w[0] >= 60][:5]
+
+
 def test_status(spark):
     rows = [(86.0, 4.0), (86.0, 3.9), (94.0, 0.0), (85.9, 50.0), (None, None)]
     df = spark.createDataFrame(rows, "b double, g double")
