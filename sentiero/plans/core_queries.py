@@ -336,8 +336,8 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 def external_matches(spark: SparkSession, d: str) -> DataFrame:
     """Best base row of each external row by name ratio and nearness."""
     t = table(spark, d, "servizi_povo_candidati_match").where("latitude is not null")
-    base = t.where("poi_source = 'poi_mappa_comunale.csv'").select(F.col("poi_id").alias("base_id"), F.substring(X.plain_words(F.col("poi_name")), 1, 60).alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
-    ext = t.where("poi_source = 'poi_osm.geojson'").select(F.col("poi_id").alias("ext_id"), F.substring(X.plain_words(F.col("poi_name")), 1, 60).alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
+    base = t.where("poi_source = 'poi_mappa_comunale.csv'").select(F.col("poi_id").alias("base_id"), X.plain_words(F.col("poi_name")).alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
+    ext = t.where("poi_source = 'poi_osm.geojson'").select(F.col("poi_id").alias("ext_id"), X.plain_words(F.col("poi_name")).alias("name"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
     return matching.best_external(base, ext)
 
 

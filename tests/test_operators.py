@@ -2,6 +2,7 @@ import json
 import math
 import random
 import zipfile
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -252,6 +253,29 @@ def test_fuzzy_candidates_against_all_pairs(spark):
         assert got.get(row, []) == [w for w in want if w[0] >= 60][:5]
 
 
+def test_best_external_against_all_pairs(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abdefilmoprstuvz") for _ in range(rnd.randrange(3, 10))) for _ in range(30)]
+    some = lambda i: (i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4))), 46.06 + rnd.random() / 100, 11.15 + rnd.random() / 100)
+    base = [some(i) for i in range(150)] + [(900, "rossi bar", 46.0, 11.0), (901, "x" * 60 + " uno", 46.5, 11.5), (902, "x" * 60 + " due", 46.5, 11.5), (903, "", 46.7, 11.7)]
+    ext = [some(i) for i in range(60)] + [(800, "bar rossi", 46.0, 11.0), (801, "x" * 60 + " due", 46.5, 11.5), (802, "9", 47.0, 12.0), (803, "", 46.7, 11.7)]
+    schema = "{} int, name string, lat double, lon double"
+    b, e = spark.createDataFrame(base, schema.format("base_id")), spark.createDataFrame(ext, schema.format("ext_id"))
+    got = {r["ext_id"]: (r["base_id"], r["score"]) for r in matching.best_external(b, e).collect()}
+
+    def score(x, y):
+        la, lo, lb, lob = map(math.radians, (x[2], x[3], y[2], y[3]))
+        d = 2 * 6_371_000 * math.asin(math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lob - lo) / 2) ** 2))
+        return 0.72 * SequenceMatcher(None, x[1], y[1]).ratio() + 0.28 * max(0.0, 1 - d / 250)
+
+    for x in ext:
+        top = max(score(x, y) for y in base)
+        assert got[x[0]][1] == pytest.approx(top, abs=1e-6) and score(x, next(y for y in base if y[0] == got[x[0]][0])) == pytest.approx(top, abs=1e-6)
+    assert got[800][0] == 900 and got[801][0] == 902 and got[802]
+    empty = matching.best_external(b.limit(0), e).collect()
+    assert len(empty) == len(ext) and all(r["base_id"] is None for r in empty)
+
+
 def test_status(spark):
     rows = [(86.0, 4.0), (86.0, 3.9), (94.0, 0.0), (85.9, 50.0), (None, None)]
     df = spark.createDataFrame(rows, "b double, g double")
