@@ -73,7 +73,7 @@ def ward_groups(df: DataFrame, key: str, features: Sequence[str], k: int) -> Dat
     return df.select(key, *features).groupBy(F.lit(1).alias("all")).applyInPandas(lambda g: group(g), f"{key} {kind}, cluster int, silhouette double")
 
 
-def kmeans_groups(df: DataFrame, key: str, features: Sequence[str], k: int, starts: int = 3, seed: int = 42) -> DataFrame:
+def kmeans_groups(df: DataFrame, key: str, features: Sequence[str], k: int, starts: int = 30, seed: int = 42) -> DataFrame:
     """(key, cluster): k-means on standardised features, the cheapest of several starts; distributed."""
     vectors = VectorAssembler(inputCols=list(features), outputCol="__raw").transform(df)
     scaled = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vectors).transform(vectors).select(key, "features").persist()

@@ -416,8 +416,10 @@ def kmeans_profiles(spark: SparkSession, d: str) -> DataFrame:
     """k-means on standardised features with restarts (L3)."""
     from ..operators.clustering import kmeans_groups
 
-    e = table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return kmeans_groups(e, "vec_id", [f"e{i}" for i in range(8)], 4)
+    vectors = table(spark, d, "embeddings")
+    wide = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    e = vectors.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(wide)])
+    return kmeans_groups(e, "vec_id", [f"e{i}" for i in range(wide)], 4)
 
 
 @query()
