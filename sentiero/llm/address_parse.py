@@ -1,13 +1,15 @@
-"""Reading an Italian postal address into street kind, street word, civic number, suffix and locality."""
+"""Reading an Italian postal address into street kind, street words, civic number, suffix, locality, given name and numeral."""
 
 from __future__ import annotations
 
 import re
 from typing import NamedTuple
 
-from .textnorm import NearIndex, fold, typo_distance
+from .nicknames import NICKNAMES
+from .textnorm import NearIndex, fold
+from .vocabulary import Gazetteer
 
-# Written forms of street kinds, titles, number words, notes and given names.
+# Written forms of street kinds, titles, number words and notes.
 KINDS = {
     "via": ("via", "v"),
     "viale": ("viale", "vle", "v.le"),
@@ -25,9 +27,10 @@ KINDS = {
 }
 TITLES = frozenset("don d dott dr dottor maestro m.tro m.o mo mtro santa santo san sant s s.ta s.to sta".split())
 TITLE_OF = {"don": "don", "d": "d", "dott": "dott", "dr": "dott", "dottor": "dott", "maestro": "maestro", "m.tro": "maestro", "m.o": "maestro", "mo": "maestro", "mtro": "maestro", "santa": "santa", "santo": "santa", "san": "santa", "sant": "santa", "s": "santa", "s.ta": "santa", "s.to": "santa", "sta": "santa"}
-NUMBER_WORDS = frozenset("due tre quattro cinque sei sette otto nove dieci undici venti".split())
-GIVEN = frozenset("francesco giuseppe bartolomeo lorenzo caterina giovanni antonio alessandro margherita vincenzo raffaella luigi maddalena domenico elisabetta".split())
-_NOTES = re.compile(r"\(?\b(?:ingresso (?:dal|da|sul) \w+|c/o .*|presso .*|lato \w+|piano (?:terra|rialzato|primo|secondo)|(?:primo|secondo|terzo) piano|interno \w+|int\.? ?\w{1,3}|scala \w|citofono .*)\)?$|\(?\b\d{1,2} ?(?:°|o)? piano\)?|\(ingresso[^)]*\)|\(lato[^)]*\)|\b(?:ingresso dal cortile|lato parco|piano terra)\b")
+NUMBER_WORDS = {"due": "2", "tre": "3", "quattro": "4", "cinque": "5", "sei": "6", "sette": "7", "otto": "8", "nove": "9", "dieci": "10", "undici": "11", "dodici": "12", "venti": "20", "ventiquattro": "24", "venticinque": "25"}
+_NOTES = re.compile(r"\(?\b(?:ingresso (?:dal|da|sul) \w+|c/o .*|presso .*|lato \w+|piano (?:terra|rialzato|primo|secondo)|(?:primo|secondo|terzo) piano|interno \w+|int\.? ?\w{1,3}|scala \w|citofono .*)\)?$|\(?\b\d{1,2} ?(?:°|o)? piano\)?|\((?:ingresso|lato)[^)]*\)|\bingresso dal \w+\b|\bpiano terra\b")
+_ROMAN = re.compile(r"x{1,3}(?:i[vx]|v?i{0,3})|i[vx]|vi{1,3}|i{2,3}")
+_ROMAN_VALUE = {"i": 1, "v": 5, "x": 10}
 _KIND_OF = {form.replace(".", ""): kind for kind, forms in KINDS.items() for form in forms}
 _ABBREVIATED = (
     (re.compile(r"\bpiaz{1,2}\. ?le\b\.?"), "piazzale "),
@@ -55,7 +58,21 @@ class Address(NamedTuple):
     number: str
     suffix: str
     locality: str
-    title: str
+    given: str
+    numeral: str
+    bare: str
+
+
+def _numeral(token: str) -> str:
+    """A number in a street's name, as digits: "quattro", "4", "iv"."""
+    if token in NUMBER_WORDS:
+        return NUMBER_WORDS[token]
+    if token.isdigit():
+        return token.lstrip("0")
+    if _ROMAN.fullmatch(token):
+        at = [_ROMAN_VALUE[c] for c in token]
+        return str(sum(-v if i + 1 < len(at) and v < at[i + 1] else v for i, v in enumerate(at)))
+    return ""
 
 
 def _kind_of(token: str) -> str:
@@ -63,16 +80,23 @@ def _kind_of(token: str) -> str:
 
 
 class AddressReader:
-    """Parses addresses; ``localities`` are the place names learnt from postal codes, ``towns`` the municipalities."""
+    """Parses addresses; ``places`` are the place names and municipalities learnt from the addresses, ``given`` given names."""
 
-    def __init__(self, localities: dict[str, str], towns: tuple[str, ...] = ("valdorsena",)) -> None:
-        """localities: postal code to place name, at most one entry for each five-digit code."""
-        self.by_code = localities
-        self.places = frozenset(localities.values())
-        self.towns = frozenset(towns)
+    def __init__(self, places: Gazetteer | None = None, given: tuple[str, ...] = tuple(NICKNAMES)) -> None:
+        self.by_code, self.towns = places or Gazetteer({}, frozenset())
+        self.places = frozenset(self.by_code.values())
+        self.given = NearIndex(given, 1)
         self.near: dict[str, str] = {}
+        self.named: dict[str, str] = {}
         self.index = NearIndex(self.places | self.towns)
 
+    def given_name(self, token: str) -> str:
+        """The given name a token is, or is one typing error from; "" for other tokens."""
+        if token not in self.named:
+            found = self.given.find(token, 1) if len(token) >= 4 else []
+            self.named[token] = found[0][1] if found else ""
+        return self.named[token]
+
     def place(self, token: str, fuzzy: bool) -> str:
         if token in self.places or token in self.towns:
             return token
@@ -137,7 +161,7 @@ class AddressReader:
             else:
                 segments[-1].append(t)
         words: list[tuple[int, str]] = []
-        title, kind_segment = "", -1
+        title, kind_segment, initial, numeral = "", -1, "", ""
         for i, segment in enumerate(segments):
             for j, t in enumerate(segment):
                 bare = t.rstrip(".").strip("'")
@@ -145,10 +169,16 @@ class AddressReader:
                     if len(bare) == 1 and j + 1 >= len(segment):
                         continue
                     kind, kind_segment = _kind_of(bare), i
-                elif bare in TITLE_OF and not (len(bare) == 1 and not t.endswith(".") and bare not in "ds"):
-                    title = title or TITLE_OF[bare]
-                elif bare in NUMBER_WORDS or bare in ("n", "nr", "civico", "di", "del", "della", "civ", "numero") or len(bare) < 2 or bare.isdigit():
+                elif bare in TITLE_OF and not title and not (len(bare) == 1 and not t.endswith(".") and bare not in "ds"):
+                    title = TITLE_OF[bare]
+                elif bare in TITLE_OF and len(bare) > 1:
+                    continue
+                elif (value := _numeral(bare)) and j + 1 < len(segment) and segment[j + 1][:1].isalpha():
+                    numeral = numeral or value
+                elif bare in ("n", "nr", "civico", "di", "del", "della", "civ", "numero") or bare.isdigit() or bare in NUMBER_WORDS:
                     continue
+                elif len(bare) < 2:
+                    initial = initial or (bare if bare.isalpha() and t.endswith(".") else "")
                 elif bare in self.towns:
                     continue
                 else:
@@ -157,14 +187,17 @@ class AddressReader:
         for i, w in words:
             alone = len(segments[i]) == 1 or i != kind_segment
             p = self.place(w, False) or (self.place(w, True) if alone and len(words) > 1 else "")
-            if p and len(words) - (w in GIVEN) > 1 and not (i == kind_segment and not any(x for j, x in words if (j, x) != (i, w))):
+            if p and len(words) - bool(self.given_name(w)) > 1 and not (i == kind_segment and not any(x for j, x in words if (j, x) != (i, w))):
                 if p not in self.towns:
                     locality = locality or p
             else:
                 rest.append((i, w))
         if kind_segment >= 0 and any(i == kind_segment for i, _ in rest):
             rest = [(i, w) for i, w in rest if i == kind_segment]
-        core = [w for _, w in rest if w not in GIVEN and not any(abs(len(w) - len(g)) <= 1 and w[:1] == g[:1] and typo_distance(w, g, 1) <= 1 for g in GIVEN)] or [w for _, w in rest]
+        core = [w for _, w in rest if not self.given_name(w)]
+        given = next((self.given_name(w) for _, w in rest if self.given_name(w)), "") or initial
+        if not core:
+            core, given = [w for _, w in rest], ""
         if not core or not (kind or number):
             return None  # "vedi sito" and the like
-        return Address(kind, max(core, key=len), number, suffix, locality, title)
+        return Address(kind, " ".join(sorted(set(core))), number, suffix, locality, given, numeral, " ".join(sorted(set(core[1:]))))

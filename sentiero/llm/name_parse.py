@@ -1,82 +1,31 @@
-"""Reading an organisation's name into activity, proper word, given name and ordinal number."""
+"""Reading an organisation's name into common words, proper tokens, given name and ordinal number.
+
+Which words are common (kinds of activity and the like) is learnt from the corpus, not listed here.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+from .nicknames import NICKNAMES
 from .textnorm import NearIndex, fold
+from .vocabulary import Vocabulary
 
-# Words that tell the activity, by activity; all words of one activity are interchangeable.
-ACTIVITIES = {
-    "alimentari": ("alimentari",),
-    "ambulatorio": ("ambulatorio",),
-    "asilo nido": ("nido",),
-    "associazione culturale": ("culturale",),
-    "associazione sportiva": ("sportiva",),
-    "banda musicale": ("banda", "musicale"),
-    "bar trattoria": ("bar", "trattoria"),
-    "biblioteca": ("biblioteca",),
-    "circolo pensionati": ("pensionati",),
-    "circolo ricreativo": ("ricreativo",),
-    "comune": ("comune", "municipio", "amministrazione"),
-    "comunita di valle": ("comunita",),
-    "consorzio turistico": ("consorzio", "turistico"),
-    "cooperativa sociale": ("cooperativa", "coop", "sociale"),
-    "coro polifonico": ("coro", "polifonico"),
-    "falegnameria": ("falegnameria",),
-    "farmacia": ("farmacia",),
-    "ferramenta": ("ferramenta",),
-    "gruppo giovani": ("gruppo", "giovani"),
-    "officina": ("officina",),
-    "palestra": ("palestra",),
-    "panificio pasticceria": ("panificio", "pasticceria"),
-    "parrucchiera": ("parrucchiera", "acconciature", "parrucchiere"),
-    "polisportiva": ("polisportiva",),
-    "pro loco": ("loco", "proloco"),
-    "ristorante pizzeria": ("ristorante", "pizzeria"),
-    "sala riunioni": ("sala", "riunioni"),
-    "scuola infanzia": ("infanzia", "dell'infanzia"),
-    "scuola primaria": ("primaria",),
-    "studio dentistico": ("dentistico",),
-    "studio tecnico": ("tecnico",),
-}
-# Words that go with several activities and tell none.
-FILLERS = ("associazione", "scuola", "studio", "circolo", "asilo", "comunale", "antica", "negozio", "meccanica", "dilettantistica", "pro", "valle", "ditta")
-# Short forms that are no prefix of their word.
-SHORT = {"bnd": "banda", "grp": "gruppo", "gr": "gruppo", "prl": "proloco", "sc": "scuola", "st": "studio", "ass": "associazione", "assoc": "associazione", "a": "associazione", "dil": "dilettantistica", "com": "comunale", "c": "circolo", "p": "pro", "c.ne": "comune", "pol": "polisportiva", "pal": "palestra", "off": "officina", "fal": "falegnameria", "farm": "farmacia", "parr": "parrucchiera", "pan": "panificio", "past": "pasticceria", "rist": "ristorante", "tratt": "trattoria", "coop": "cooperativa", "soc": "sociale", "mus": "musicale", "riun": "riunioni", "inf": "infanzia", "dell'inf": "infanzia", "prim": "primaria", "mecc": "meccanica", "s": "sportiva"}
-# Short and pet forms of given names.
-NICKNAMES = {
-    "alessandro": ("ale", "sandro", "alex"),
-    "antonio": ("toni", "tonino", "nino"),
-    "bartolomeo": ("bortolo", "meo"),
-    "caterina": ("rina", "cati", "catia"),
-    "domenico": ("menico", "mimmo"),
-    "elisabetta": ("lisa", "betta", "elisa"),
-    "francesco": ("franz", "checco", "franco", "cecco"),
-    "giovanni": ("gianni", "nanni", "vanni"),
-    "giuseppe": ("bepi", "beppe", "pino", "peppe"),
-    "lorenzo": ("renzo", "enzo"),
-    "luigi": ("gigi", "gino"),
-    "maddalena": ("lena", "madda"),
-    "margherita": ("rita", "ghita"),
-    "raffaella": ("lella", "raffa"),
-    "vincenzo": ("cencio", "enzo", "renzo"),
-}
+# Words for one thing that share no spelling; a parameter of the reader. Bodies of a place are named by it.
+SYNONYMS = {"municipio": "comune", "amministrazione": "comune", "acconciature": "parrucchiera", "parrucchiere": "parrucchiera", "acconciatore": "parrucchiera"}
+# Words that tell nothing.
+STOP_WORDS = frozenset("di e ed del dello della dei degli delle dell al alla la il lo le gli i de da d l c co".split())
 _LEGAL = re.compile(r"(?:\bsoc(?:ieta)?\b\.? ?coop(?:erativa)?\b\.?(?: ?soc(?:iale)?\b\.?)?(?=\s*(?:$|[,(@\-\"]|di\b))|&? ?c\.? s\.?n\.?c\b\.?|\bs\.? ?r\.? ?l\.?s?\b\.?|\bs\.? ?n\.? ?c\b\.?|\bs\.? ?c\.? ?s\b\.?|\bo\.? ?d\.? ?v\b\.?|\ba\.? ?p\.? ?s\b\.?|\ba\.? ?s\.? ?d\b\.?|\bs\.? ?p\.? ?a\b\.?|\bs\.? ?a\.? ?s\b\.?|\bs\.? ?s\.? ?d\b\.?|\bonlus\b|& ?c\.?(?=\s|$))")
-_TOKEN = re.compile(r"[a-z0-9']+(?:\.[a-z]{1,3}(?![a-z]))?\.?|[(),@\-:/]")
-_ORDINAL = {"1": "1", "2": "2", "3": "3", "4": "4", "5": "5", "6": "6", "7": "7", "8": "8", "9": "9", "i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
-_GIVEN_OF: dict[str, tuple[str, ...]] = {}
-for _full, _shorts in NICKNAMES.items():
-    for _form in (_full, *_shorts):
-        _GIVEN_OF[_form] = (*_GIVEN_OF.get(_form, ()), _full)
-_WORD_OF = {w: (w, a) for a, ws in ACTIVITIES.items() for w in ws} | {w: (w, "") for w in FILLERS}
-_NEAR_WORDS = NearIndex(_WORD_OF)
-_BEGINS: dict[str, str] = {}
-for _w in _WORD_OF:
-    for _n in range(3, len(_w) + 1):
-        _BEGINS.setdefault(_w[:_n], _w)
-_NEAR_FULL, _NEAR_GIVEN = NearIndex(NICKNAMES), NearIndex([n for n in _GIVEN_OF if len(n) >= 4], 1)
+_TOKEN = re.compile(r"[^\W_]+(?:\.[^\W\d_]{1,3}(?![^\W\d_]))?\.?|[(),@\-:/]")
+_ELISION = re.compile(r"\b([a-z]{1,6})'(?=[a-z])")
+_ELIDED = NearIndex(("dell", "nell", "sull", "dall"))
+_ARTICLE = re.compile(r"(?:del{1,2}|all|nell|sull|dall)(?=[aeiou])")
+_ORDINAL_SIGN = re.compile(r"\bn(?:\.|°|r\.|um\.| )? ?(\d{1,3}|i{1,3}|iv|v)\b|\bnr?\.? ?(\d{1,3})\b")
+_ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
+#: Letters from which on an undotted beginning of a common word stands for it.
+BEGINNING = 5
 
 
 class Name(NamedTuple):
@@ -86,45 +35,92 @@ class Name(NamedTuple):
     number: str
 
 
-def _match_word(token: str, memo: dict) -> tuple[str, str] | None:
-    """The activity word that a token stands for: exact, abbreviated with a dot, or mistyped."""
-    if token in memo:
-        return memo[token]
-    bare, found = token.rstrip("."), None
-    if bare in _WORD_OF:
-        found = _WORD_OF[bare]
-    elif "." in bare:
-        head, _, tail = bare.rpartition(".")
-        fits = [w for w in _WORD_OF if w.startswith(head) and w.endswith(tail) and len(w) > len(bare)]
-        found = _WORD_OF[SHORT[bare]] if bare in SHORT else _WORD_OF[fits[0]] if fits else None
-    elif token.endswith(".") or bare in ("bnd", "grp"):
-        found = _WORD_OF[SHORT[bare]] if bare in SHORT else _WORD_OF[_BEGINS[bare]] if bare in _BEGINS else None
-    if not found and len(bare) >= 5 and bare in _BEGINS:
-        found = _WORD_OF[_BEGINS[bare]]
-    if not found and len(bare) >= 4:
-        close = [(d, w) for d, w in _NEAR_WORDS.find(bare, 1 if len(bare) < 5 else 2) if d <= (1 if len(w) < 6 else 2)]
-        found = _WORD_OF[close[0][1]] if close else None
-    if not found and len(bare) >= 6 and (likely := _NEAR_WORDS.likely(bare, 0.92)):
-        found = _WORD_OF[likely]
-    memo[token] = found
-    return found
-
-
 class NameReader:
-    """Parses organisation names; ``places`` are locality names, which a name may carry besides."""
+    """Parses organisation names.
+
+    ``vocabulary`` tells which words are common; ``places`` are locality names, which a name may carry besides, ``towns``
+    the municipalities they belong to; ``nicknames`` and ``synonyms`` are tables by full form and by word.
+    """
 
-    def __init__(self, places: frozenset[str] = frozenset(), towns: tuple[str, ...] = ("valdorsena",)) -> None:
+    def __init__(self, vocabulary: Vocabulary | None = None, places: frozenset[str] = frozenset(), towns: Sequence[str] = (), nicknames: Mapping[str, tuple[str, ...]] = NICKNAMES, synonyms: Mapping[str, str] = SYNONYMS) -> None:
         self.places, self.towns = places, frozenset(towns)
         self.index = NearIndex(self.places | self.towns)
-        self.words: dict = {}
-        self.given: dict = {}
-        self.near: dict = {}
+        self.synonyms = dict(synonyms)
+        self.given_of: dict[str, tuple[str, ...]] = {}
+        for full, shorts in nicknames.items():
+            for form in (full, *shorts):
+                self.given_of[form] = (*self.given_of.get(form, ()), full)
+        self.near_full, self.near_given = NearIndex(nicknames), NearIndex([n for n in self.given_of if len(n) >= 4], 1)
+        counts, self.together = vocabulary or Vocabulary({}, {})
+        counts = {w: n for w, n in counts.items() if w not in self.given_of and w not in places and w not in self.towns and w not in STOP_WORDS}
+        counts |= {w: max(counts.get(w, 0), 1) for w in {*synonyms, *synonyms.values()}}
+        # A common word eight times rarer than one it resembles is a frequent misspelling of it.
+        near = NearIndex([w for w in counts if len(w) >= 5])
+        near_to = lambda w: [v for d, v in near.find(w, 1 if len(w) < 7 else 2) if d and counts[v] >= 8 * counts[w]]
+        counts = {w: n for w, n in counts.items() if w in self.synonyms or len(w) < 5 or not near_to(w)}
+        # One that only begins a commoner one is a short form, and two run together are two.
+        starts: dict[str, int] = {}
+        for w, n in counts.items():
+            for k in range(BEGINNING, len(w)):
+                starts[w[:k]] = max(starts.get(w[:k], 0), n)
+        self.joined = {v + w: (v, w) for v, w in self.together if v in counts and w in counts}
+        self.counts = {w: n for w, n in counts.items() if w in self.synonyms or w not in self.joined and starts.get(w, 0) < 2 * n}
+        # Values that hold a word without its usual companion.
+        most: dict[str, int] = {}
+        for (v, _), n in self.together.items():
+            most[v] = max(most.get(v, 0), n)
+        self.alone = {w: n - most.get(w, 0) for w, n in self.counts.items()}
+        self.near_common = NearIndex([w for w in self.counts if len(w) >= 4])
+        self.begins: dict[str, list[str]] = {}
+        for w in sorted(self.counts, key=lambda w: (-self.counts[w], w)):
+            for n in range(1, len(w)):
+                self.begins.setdefault(w[:n], []).append(w)
+        self.common: dict[str, tuple[str, ...]] = {}
+        self.short: dict[str, list[str]] = {}
+        self.given: dict[str, tuple[str, ...]] = {}
+        self.near: dict[str, bool] = {}
+
+    def _common(self, token: str) -> tuple[str, ...]:
+        """The common words an undotted token stands for: itself, two run together, a long beginning or a misspelling."""
+        if token not in self.common:
+            found: tuple[str, ...] = ()
+            if token in self.counts:
+                found = (token,)
+            elif token in self.joined:
+                found = self.joined[token]
+            elif (rest := _ARTICLE.sub("", token, count=1) if _ARTICLE.match(token) else "") in self.counts:
+                found = (rest,)
+            elif token not in self.given_of:
+                if len(token) >= BEGINNING and token in self.begins:
+                    found = (self.begins[token][0],)
+                elif len(token) >= 4:
+                    close = [(d, -self.counts[w], w) for d, w in self.near_common.find(token, 1 if len(token) < 6 else 2) if d <= (1 if len(w) < 6 else 2)]
+                    if close:
+                        found = (min(close)[2],)
+                    elif len(token) >= 6 and (likely := self.near_common.likely(token, 0.92)):
+                        found = (likely,)
+            self.common[token] = found
+        return self.common[token]
+
+    def _short_for(self, token: str) -> list[str]:
+        """Common words a dotted token may stand for, most frequent first: beginnings, or first and last letters, or letters left out."""
+        if token not in self.short:
+            bare = token.rstrip(".")
+            if "." in bare:
+                head, _, tail = bare.rpartition(".")
+                found = [w for w in self.begins.get(head.replace(".", ""), []) if w.endswith(tail) and len(w) >= len(bare)]
+            else:
+                found = [*([bare] if bare in self.counts else []), *self.begins.get(bare, [])]
+                if not found and len(bare) >= 2:
+                    found = [w for w in self.begins.get(bare[0], []) if len(w) > len(bare) and _left_out(bare, w)]
+            self.short[token] = found
+        return self.short[token]
 
     def _given(self, token: str) -> tuple[str, ...]:
         if token not in self.given:
-            found = _GIVEN_OF.get(token, ())
+            found = self.given_of.get(token, ())
             if not found and len(token) >= 4:
-                close = _NEAR_FULL.find(token) or [(d, g) for d, n in _NEAR_GIVEN.find(token, 1) for g in _GIVEN_OF[n]]
+                close = self.near_full.find(token) or [(d, g) for d, n in self.near_given.find(token, 1) for g in self.given_of[n]]
                 found = tuple(sorted({g for d, g in close if d == close[0][0]}))
             self.given[token] = found
         return self.given[token]
@@ -134,52 +130,62 @@ class NameReader:
             self.near[token] = token in self.places or token in self.towns or len(token) >= 6 and bool(self.index.find(token))
         return self.near[token]
 
+    def _best(self, options: Sequence[str], beside: set[str]) -> tuple[int, str]:
+        """The option most often seen with the words beside it, and how often."""
+        seen = lambda w: sum(self.together.get((w, v), 0) for v in beside)
+        best = max(options, key=lambda w: (seen(w), self.alone.get(w, 0), self.counts.get(w, 0)))
+        return seen(best), best
+
     def read(self, text: str | None) -> Name | None:
-        """The parts of a name, or None where there is none."""
+        """The parts of a name, or None where there is none: ``activity`` the sorted common words, ``word`` the sorted proper
+        tokens, ``given`` the given names it may mean, ``number`` the ordinal."""
         if not text:
             return None
         s = re.sub(r"\s+", " ", fold(text)).replace('"', " ").strip()
         s = re.sub(r"(?<=[a-z])'(?![a-z])", "", s)
-        s = re.sub(r"(?<=[a-z])0(?=[a-z])", "o", s)
-        s = _LEGAL.sub(" ", s)
-        s = re.sub(r"\bpro[- ]loco\b", "proloco", s)
-        s = re.sub(r"\b(asilo|pro|bar)-(?=[a-z])", r"\1 ", s)
+        s = re.sub(r"(?<=[a-z])0(?=[a-z]|\b)", "o", s)
+        s = _ELISION.sub(_unjoined, _LEGAL.sub(" ", s)).replace("'", "")
+        s = re.sub(r"(?<=[a-z]{3})-(?=[a-z]{3})", " ", s)
         number = ""
-        m = re.search(r"\bn(?:\.|°|r\.|um\.| )? ?(\d|i{1,3}|iv|v)\b|\bnr?\.? ?(\d)\b", s)
+        m = _ORDINAL_SIGN.search(s)
         if m:
-            number = _ORDINAL.get(m[1] or m[2], "")
+            number = _ROMAN.get(m[1] or "", m[1] or m[2])
             s = s[: m.start()] + " " + s[m.end() :]
-        tokens = _TOKEN.findall(s)
-        activity_votes: list[str] = []
-        words: list[tuple[str, bool]] = []
+        common: set[str] = set()
+        shorts: list[tuple[str, list[str]]] = []
+        initials: list[tuple[str, str]] = []
+        words: list[str] = []
         given: tuple[str, ...] = ()
-        initial, filler, after_mark, fallback = "", "", False, ""
+        after_mark, fallback = False, ""
+        tokens = _TOKEN.findall(s)
         for i, t in enumerate(tokens):
             if t in "(),@-:/":
                 after_mark = True
                 continue
-            bare = t.rstrip(".").strip("'")
+            dotted, bare = "." in t, t.rstrip(".")
             if not bare:
                 continue
-            if bare in ("di", "e", "del", "della", "dell", "dello", "la", "il", "lo", "de", "n", "nr"):
+            if len(bare) == 1 and bare.isalpha():
+                following = tokens[i + 1].rstrip(".") if i + 1 < len(tokens) else ""
+                if dotted or bare not in STOP_WORDS and bare not in _ROMAN:
+                    initials.append((bare, following))
+                    continue
+            if bare in STOP_WORDS and not dotted and bare not in _ROMAN:
                 after_mark = after_mark or bare == "di"
                 continue
-            if bare in _ORDINAL and not t.endswith(".") and (bare.isdigit() or bare in ("i", "ii", "iii", "iv")):
-                number = number or _ORDINAL[bare]
+            if not dotted and (bare.isdigit() or bare in _ROMAN):
+                number = number or _ROMAN.get(bare, bare.lstrip("0") or "0")
                 continue
-            if len(bare) == 1 and i + 1 < len(tokens) and _match_word(tokens[i + 1], self.words) and tokens[i + 1].rstrip(".") not in _GIVEN_OF:
-                continue  # "S. Primaria", "B. Musicale": the letter stands for a word of the activity
-            hit = _match_word(t, self.words) if len(bare) > 1 else None
-            if hit and bare in _GIVEN_OF and not (activity_votes[-1:] == ["gruppo giovani"] and hit[1] == "gruppo giovani"):
-                hit = None
-            if hit:
-                if hit[1]:
-                    activity_votes.append(hit[1])
-                else:
-                    filler = filler or hit[0]
+            if bare in self.given_of and not given:
+                given = self.given_of[bare]
                 continue
-            if len(bare) == 1:
-                initial = initial or bare
+            if dotted and len(bare) > 1:
+                # A short form of no common word stands for one that is only ever written short.
+                shorts.append((t, self._short_for(t) or [bare.replace(".", "")]))
+                continue
+            hit = self._common(bare) if "." not in bare else ()
+            if hit:
+                common.update(hit)
                 continue
             g = self._given(bare)
             if g and not given:
@@ -189,17 +195,40 @@ class NameReader:
                 fallback = fallback or bare
                 after_mark = False
                 continue
-            words.append((bare, after_mark))
+            words.append(bare.replace(".", ""))
             after_mark = False
-        if not activity_votes and filler == "comunale":
-            activity_votes = ["comune"]
-        activity = max(sorted(set(activity_votes)), key=activity_votes.count) if activity_votes else filler
+        # Short forms are read by the common words they stand with.
+        for _, options in sorted(shorts, key=lambda x: len(x[1])):
+            common.add(self._best(options, common)[1])
+        left = ""
+        for letter, following in initials:
+            options = self.begins.get(letter, [])
+            beside = {*self._common(following), *(self._short_for(following + ".")[:1] if following and not self._common(following) else ())} & self.counts.keys()
+            seen, best = self._best(options, beside or common) if options else (0, "")
+            if seen and beside and seen >= 0.2 * min(self.counts[v] for v in beside):
+                common.add(best)
+            elif options and not beside and not words and not common:
+                left = left or letter
+            else:
+                left = left or letter
+        activity = " ".join(sorted({self.synonyms.get(w, w) for w in common}))
         if not words and fallback:
-            words = [(fallback, False)]
+            words = [fallback]
         if not words and given:
-            words, given = [(given[0], False)], ()
+            words, given = [given[0]], ()
         if not words:
             return Name(activity, "", given, number) if activity else None
-        if not given and initial:
-            given = (initial,)
-        return Name(activity, max((w for w, _ in words), key=len), given, number)
+        if not given and left:
+            given = (left,)
+        return Name(activity, " ".join(sorted(set(words))), given, number)
+
+
+def _unjoined(m: re.Match) -> str:
+    """Nothing for an elided article, also a misspelt one; else what stands before the apostrophe."""
+    return " " if m[1] in ("d", "l", "un", "all", "del") or len(m[1]) >= 4 and _ELIDED.find(m[1]) else m[1]
+
+
+def _left_out(short: str, word: str) -> bool:
+    """The letters of ``short`` stand in ``word`` in order, the first one first, and no vowel among the rest."""
+    at = iter(word)
+    return short[0] == word[0] and not set(short[1:]) & set("aeiou") and all(c in at for c in short)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .addresses import localities, same_address_pairs
+from .addresses import same_address_pairs
 from .entity_match import match_entities
+
 from .mixing import mix, mix_report
 from .names import same_name_pairs
 from .packing import pack, packing_report
@@ -17,6 +18,7 @@ from .section_profile import SECTION_FEATURES
 from .similarity_groups import describe, similarity_groups
 from .tokens import token_counts
 from .truncation import truncated, truncation_report
+from .vocabulary import gazetteer
 
 CANDIDATES, RECORDS = "servizi_povo_candidati_match", "cultura_socialita_e_spazi_comuni"
 
@@ -42,14 +44,18 @@ def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services and POIs that are the same place."""
-    records = table(spark, sf_dir, RECORDS).select("scheda_id", F.col("attore").alias("value")).distinct()
-    found = match_entities(_services(spark, sf_dir), _pois(spark, sf_dir), records)
-    return found.where("same").select(F.col("service_id").alias("service_row"), "poi_id").distinct()
+    found = match_entities(_services(spark, sf_dir), _pois(spark, sf_dir))
+    return found.where("matched").select(F.col("service_id").alias("service_row"), "poi_id").distinct()
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of services and POIs with score, confidence and decision."""
+    return match_entities(_services(spark, sf_dir), _pois(spark, sf_dir)).withColumnRenamed("service_id", "service_row")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings that name the same organisation."""
-    pairs = same_name_pairs(_names(spark, sf_dir), localities(_addresses(spark, sf_dir)))
+    pairs = same_name_pairs(_names(spark, sf_dir), gazetteer(_addresses(spark, sf_dir)))
     return pairs.select(F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
 
 
@@ -107,6 +113,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_matches": p1_matches,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p3_found": p3_found,

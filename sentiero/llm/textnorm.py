@@ -20,10 +20,6 @@ _ALIKE = "o0 i1 l1 ae ei ou bp dt mn sz cg fv"
 ADJACENT = _adjacent_keys() | {(x, y) for pair in _ALIKE.split() for x, y in (pair, pair[::-1])}
 
 
-#: Letters above which a word is no word people type: it is then like another only if it is the same.
-LONG_WORD = 40
-
-
 def fold(text: str) -> str:
     """Lower case, no accents, typographic quotes and dashes unified, no-break blanks as blanks."""
     text = text.lower()
@@ -41,7 +37,7 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
     """
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit or len(a) > LONG_WORD or len(b) > LONG_WORD:
+    if abs(len(a) - len(b)) > limit:
         return limit + 1
     # What both begin and end with costs nothing.
     i, n = 0, min(len(a), len(b))
@@ -53,29 +49,33 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return min(len(a) + len(b), limit + 1)
-    before, row = None, list(range(len(b) + 1))
+    # Only cells within ``limit`` of the diagonal can stay within the limit, so long texts cost no more than their length.
+    far = limit + 1
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), limit) + 1)}
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
+        now = {0: i} if i <= limit else {}
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            y = b[j - 1]
             if x == y:
-                cost = row[j - 1]
+                cost = row.get(j - 1, far)
             else:
-                cost = row[j - 1] + (1 if (x, y) in ADJACENT else 2)
-                cost = min(cost, row[j] + 1, now[j - 1] + 1)
-                if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    cost = min(cost, before[j - 2] + 1)
-            now.append(cost)
-        if min(now) > limit:
-            return limit + 1
+                cost = row.get(j - 1, far) + (1 if (x, y) in ADJACENT else 2)
+                cost = min(cost, row.get(j, far) + 1, now.get(j - 1, far) + 1)
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    cost = min(cost, before.get(j - 2, far) + 1)
+            now[j] = cost
+        if min(now.values()) > limit:
+            return far
         before, row = row, now
-    return min(row[-1], limit + 1)
+    return min(row.get(len(b), far), far)
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro-Winkler similarity (prefix weight 0.1, at most four letters); 0 for different texts over ``LONG_WORD``."""
+    """Jaro-Winkler similarity (prefix weight 0.1, at most four letters)."""
     if a == b:
         return 1.0
-    if not a or not b or len(a) > LONG_WORD or len(b) > LONG_WORD:
+    if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     taken, left = [False] * len(b), []
