@@ -32,21 +32,15 @@ _NOTES = re.compile(r"\(?\b(?:ingresso (?:dal|da|sul) \w+|c/o .*|presso .*|lato
 _ROMAN = re.compile(r"x{1,3}(?:i[vx]|v?i{0,3})|i[vx]|vi{1,3}|i{2,3}")
 _ROMAN_VALUE = {"i": 1, "v": 5, "x": 10}
 _KIND_OF = {form.replace(".", ""): kind for kind, forms in KINDS.items() for form in forms}
-_ABBREVIATED = (
-    (re.compile(r"\bpiaz{1,2}\. ?le\b\.?"), "piazzale "),
-    (re.compile(r"\bp\. ?z?za\b\.?"), "piazza "),
-    (re.compile(r"\bp\.? ?z?le\b\.?"), "piazzale "),
-    (re.compile(r"\bv\. ?le\b\.?|\bvle\b\.?"), "viale "),
-    (re.compile(r"\bv\. ?lo\b\.?|\bvlo\b\.?"), "vicolo "),
-    (re.compile(r"\bl\. ?go\b\.?|\blgo\b\.?"), "largo "),
-    (re.compile(r"\bc\. ?so\b\.?|\bcso\b\.?"), "corso "),
-    (re.compile(r"\bm\. ?(?:tro|o)\b\.?"), "maestro "),
-    (re.compile(r"\bs\. ?t[aoe]\b\.?"), "santa "),
-    (re.compile(r"\bs\. ?da\b\.?"), "strada "),
-    (re.compile(r"\bp\. ?tta\b\.?"), "piazzetta "),
-    (re.compile(r"\bc\. ?da\b\.?"), "contrada "),
-    (re.compile(r"\bpiaz\."), "piazza "),
+_ABBREVIATED = re.compile(
+    r"(?P<piazzale>\bpiaz{1,2}\. ?le\b\.?|\bp\.? ?z?le\b\.?)|(?P<piazza>\bp\. ?z?za\b\.?|\bpiaz\.)|(?P<viale>\bv\. ?le\b\.?|\bvle\b\.?)|(?P<vicolo>\bv\. ?lo\b\.?|\bvlo\b\.?)"
+    r"|(?P<largo>\bl\. ?go\b\.?|\blgo\b\.?)|(?P<corso>\bc\. ?so\b\.?|\bcso\b\.?)|(?P<maestro>\bm\. ?(?:tro|o)\b\.?)|(?P<santa>\bs\. ?t[aoe]\b\.?)|(?P<strada>\bs\. ?da\b\.?)"
+    r"|(?P<piazzetta>\bp\. ?tta\b\.?)|(?P<contrada>\bc\. ?da\b\.?)"
 )
+_NOTE_HINT = re.compile(r"ingr|c/o|press|lato|piano|intern|int|scala|citof")
+_BLANKS, _BREAKS, _STRAY = re.compile(r"\s+"), re.compile(r"\s*[\n\r]+\s*"), re.compile(r"(?<=[a-z])'(?![a-z])")
+_PROVINCE, _HAMLET = re.compile(r"\(\s*[a-z]{2}\s*\)"), re.compile(r"\b(?:fraz|frazione)\b\.? ?([a-z']+)")
+_PROVINCE_LAST = re.compile(r"(?<=[a-z]{3}) (?!vi$)[a-z]{2}$")
 _CAP = re.compile(r"\b(\d{5})\b\s*([a-z']{3,})?")
 _NUMBER = re.compile(r"(?<![\w°.])(?:(?:n|nr|num|civico|civ|numero)\b\.? ?°? ?|n° ?)?(\d{1,4})(?!\d|°)(?:\s*[/-]?\s*(bis|ter|quater|[a-hA-H](?![\w.'])))?(?![\w])")
 _TOKEN = re.compile(r"\d+|[a-z0-9']+\.?|[,\-()/;:]")
@@ -111,22 +105,20 @@ class AddressReader:
         """The parts of an address, or None where it names no street."""
         if not text:
             return None
-        s = re.sub(r"\s*[\n\r]+\s*", ", ", fold(text)).strip(" \t\"'")
-        s = re.sub(r"\s+", " ", s)
-        s = re.sub(r"(?<=[a-z])'(?![a-z])", "", s)
-        for _ in range(2):
-            s = _NOTES.sub(" ", s).strip(" ,-;")
-        for pattern, to in _ABBREVIATED:
-            s = pattern.sub(to, s)
+        s = _BREAKS.sub(", ", fold(text)).strip(" \t\"'")
+        s = _STRAY.sub("", _BLANKS.sub(" ", s))
+        if _NOTE_HINT.search(s):
+            for _ in range(2):
+                s = _NOTES.sub(" ", s).strip(" ,-;")
+        s = _ABBREVIATED.sub(lambda k: k.lastgroup + " ", s.strip(" ,-;"))
         locality = ""
         m = _CAP.search(s)
         if m:
             locality = self.by_code.get(m[1], "") or (m[2] or "")
             tail = m[2] if m[2] and (self.place(m[2], True) or m[2] == locality) else ""
             s = (s[: m.start()] + " , " + s[m.end(1) + (len(m[0]) - len(m[1]) if tail else 0) :]).strip()
-        s = re.sub(r"\(\s*[a-z]{2}\s*\)", " ", s)
-        s = re.sub(r"(?<=[a-z]{3}) [a-z]{2}$", lambda k: k[0] if k[0].strip() in ("vi",) else "", s.strip(" ,-"))
-        m = re.search(r"\b(?:fraz|frazione)\b\.? ?([a-z']+)", s)
+        s = _PROVINCE_LAST.sub("", _PROVINCE.sub(" ", s).strip(" ,-"))
+        m = _HAMLET.search(s)
         if m:
             locality = locality or self.place(m[1], True) or m[1]
             s = s[: m.start()] + " , " + s[m.end() :]

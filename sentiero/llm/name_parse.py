@@ -23,6 +23,7 @@ _ELISION = re.compile(r"\b([a-z]{1,6})'(?=[a-z])")
 _ELIDED = NearIndex(("dell", "nell", "sull", "dall"))
 _ARTICLE = re.compile(r"(?:del{1,2}|all|nell|sull|dall)(?=[aeiou])")
 _ORDINAL_SIGN = re.compile(r"\bn(?:\.|°|r\.|um\.| )? ?(\d{1,3}|i{1,3}|iv|v)\b|\bnr?\.? ?(\d{1,3})\b")
+_STRAY, _ZERO, _JOINED = re.compile(r"(?<=[a-z])'(?![a-z])"), re.compile(r"(?<=[a-z])0(?=[a-z]|\b)"), re.compile(r"(?<=[a-z]{3})-(?=[a-z]{3})")
 _ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 #: Letters from which on an undotted beginning of a common word stands for it.
 BEGINNING = 5
@@ -141,11 +142,14 @@ class NameReader:
         tokens, ``given`` the given names it may mean, ``number`` the ordinal."""
         if not text:
             return None
-        s = re.sub(r"\s+", " ", fold(text)).replace('"', " ").strip()
-        s = re.sub(r"(?<=[a-z])'(?![a-z])", "", s)
-        s = re.sub(r"(?<=[a-z])0(?=[a-z]|\b)", "o", s)
-        s = _ELISION.sub(_unjoined, _LEGAL.sub(" ", s)).replace("'", "")
-        s = re.sub(r"(?<=[a-z]{3})-(?=[a-z]{3})", " ", s)
+        s = " ".join(fold(text).replace('"', " ").split())
+        if "0" in s:
+            s = _ZERO.sub("o", s)
+        s = _LEGAL.sub(" ", s)
+        if "'" in s:
+            s = _ELISION.sub(_unjoined, _STRAY.sub("", s)).replace("'", "")
+        if "-" in s:
+            s = _JOINED.sub(" ", s)
         number = ""
         m = _ORDINAL_SIGN.search(s)
         if m:

@@ -110,24 +110,49 @@ def deletions(word: str, depth: int) -> frozenset[str]:
     return frozenset(found)
 
 
+def _letters(word: str) -> int:
+    """The set of a word's characters as bits (characters that share a bit only make the set smaller)."""
+    mask = 0
+    for c in word:
+        mask |= 1 << (ord(c) & 63)
+    return mask
+
+
 class NearIndex:
-    """Finds the words of a fixed list that a token may stand for, by the letters both keep after deletions."""
+    """Finds the words of a fixed list that a token may stand for, within a few typing errors.
+
+    Of a short list, words of a similar length whose letters differ by no more than the errors allow are compared; a long
+    one is looked up by the letters both keep after deletions. Both ways find the same words.
+    """
+
+    #: Words up to which letters are compared one by one.
+    SHORT_LIST = 400
 
     def __init__(self, words, depth: int = 2) -> None:
-        self.depth, self.words = depth, {}
+        self.depth, listed = depth, list(dict.fromkeys(words))
+        self.words: dict[str, list[str]] | None = None if len(listed) <= self.SHORT_LIST else {}
         self.heads: dict[str, list[str]] = {}
-        self.longest = max(map(len, words), default=0)
-        for w in dict.fromkeys(words):
-            for v in deletions(w, depth):
-                self.words.setdefault(v, []).append(w)
+        self.sizes: dict[int, list[tuple[int, str]]] = {}
+        for w in listed:
+            if self.words is None:
+                self.sizes.setdefault(len(w), []).append((_letters(w), w))
+            else:
+                for v in deletions(w, depth):
+                    self.words.setdefault(v, []).append(w)
             self.heads.setdefault(w[:2], []).append(w)
+        self.longest = max(map(len, listed), default=0)
 
     def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
         """(errors, word) of the words at most ``limit`` typing errors from ``token``, nearest first."""
-        words = self.words
-        if len(token) > self.longest + self.depth:
+        limit, n = min(limit, self.depth), len(token)
+        if n > self.longest + limit:
             return []
-        near = {w for v in deletions(token, self.depth) if v in words for w in words[v]}
+        if self.words is None:
+            mask, sizes = _letters(token), self.sizes
+            near = [w for k in range(n - limit, n + limit + 1) if k in sizes for m, w in sizes[k] if (m ^ mask).bit_count() <= 2 * limit]
+        else:
+            words = self.words
+            near = {w for v in deletions(token, self.depth) if v in words for w in words[v]}
         return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
 
     def likely(self, token: str, least: float) -> str:

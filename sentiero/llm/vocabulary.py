@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+
 #: A word is frequent if at least this share of the distinct values holds it, and at least so many of them.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 6
 #: A frequent word is common, not a name, if at least this share of its values hold a rare word beside it.
@@ -38,6 +40,7 @@ def common_words(values: DataFrame) -> Vocabulary:
     """
     text = F.regexp_replace(plain_letters("value"), r"\b(?:d|l|dell|all|nell|sull|dall|un)['’]", " ")
     held = values.where(F.col("value").isNotNull()).select(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![a-z.])([a-z]{3,})(?![a-z.])"))).alias("held"))
+    held = stage(held)  # read three times
     n = held.count()
     least = max(FREQUENT_LEAST, FREQUENT_SHARE * n)
     frequent = sorted(r[0] for r in held.select(F.explode("held").alias("w")).groupBy("w").count().where(F.col("count") >= least).select("w").collect())
