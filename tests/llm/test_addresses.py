@@ -1,26 +1,31 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sentiero.llm.address_parse import AddressReader
-from sentiero.llm.addresses import address_ids, localities, same_address_pairs
-from sentiero.llm.lexicon import near_words
+from sentiero.llm.addresses import address_ids, same_address_pairs
+from sentiero.llm.lexicon import blocking_codes, near_words
 from sentiero.llm.textnorm import NearIndex, deletions, jaro_winkler, typo_distance
+from sentiero.llm.vocabulary import Gazetteer, gazetteer
 
-PLACES = {"99000": "dugosudoza", "99001": "mocagitevu"}
+PLACES = Gazetteer({"99000": "dugosudoza", "99001": "mocagitevu"}, frozenset({"valdorsena"}))
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("37,  V. D. Zaripopica, 99001 Mocagitevu (VX)", ("via", "zaripopica", "37", "", "mocagitevu")),
-        ("F. Cutosubupi, 4 bis, Dugosudoza", ("", "cutosubupi", "4", "bis", "dugosudoza")),
-        ("1/ B, Piazza Santa Nedazufozu 99000 Dugosudoza", ("piazza", "nedazufozu", "1", "b", "dugosudoza")),
-        ("3 vicolo 4 biravusoro", ("vicolo", "biravusoro", "3", "", "")),
-        ("Piaz.le Rogemanesì N.17", ("piazzale", "rogemanesi", "17", "", "")),
-        ("S.da Nerutesilu 1", ("strada", "nerutesilu", "1", "", "")),
-        ("VIA Boracomuze' nr. 5bis, 1° piano", ("via", "boracomuze", "5", "bis", "")),
-        ("Fraz. Mocagitevu, Via Don Zaripopica, 21 bis", ("via", "zaripopica", "21", "bis", "mocagitevu")),
-        ("Via Boracomuzè", ("via", "boracomuze", "", "", "")),
+        ("37,  V. D. Zaripopica, 99001 Mocagitevu (VX)", ("via", "zaripopica", "37", "", "mocagitevu", "", "")),
+        ("F. Cutosubupi, 4 bis, Dugosudoza", ("", "cutosubupi", "4", "bis", "dugosudoza", "f", "")),
+        ("1/ B, Piazza Santa Nedazufozu 99000 Dugosudoza", ("piazza", "nedazufozu", "1", "b", "dugosudoza", "", "")),
+        ("3 vicolo 4 biravusoro", ("vicolo", "biravusoro", "3", "", "", "", "4")),
+        ("Piaz.le Rogemanesì N.17", ("piazzale", "rogemanesi", "17", "", "", "", "")),
+        ("S.da Nerutesilu 1", ("strada", "nerutesilu", "1", "", "", "", "")),
+        ("VIA Boracomuze' nr. 5bis, 1° piano", ("via", "boracomuze", "5", "bis", "", "", "")),
+        ("Fraz. Mocagitevu, Via Don Zaripopica, 21 bis", ("via", "zaripopica", "21", "bis", "mocagitevu", "", "")),
+        ("Via dott. Francesco Boracomuzè", ("via", "boracomuze", "", "", "", "francesco", "")),
+        ("Via IV Novembre 12", ("via", "novembre", "12", "", "", "", "4")),
+        ("Via Monte Baldo 3", ("via", "baldo monte", "3", "", "", "", "")),
         ("vedi sito", None),
         ("-", None),
         ("", None),
@@ -29,12 +34,12 @@ PLACES = {"99000": "dugosudoza", "99001": "mocagitevu"}
 )
 def test_reader(text, want):
     got = AddressReader(PLACES).read(text)
-    assert (got and got[:5]) == want
+    assert (got and got[:7]) == want
 
 
 def test_reader_takes_any_text():
-    reader = AddressReader({})
-    for text in ("x" * 100_000, "1 2 3 4 5 6", "(((", "Via", "Via 3", "12345", "\n\n", "via via via 5", "°" * 50, "a. b. c. 1/"):
+    reader = AddressReader()
+    for text in ("x" * 100_000, "1 2 3 4 5 6", "(((", "Via", "Via 3", "12345", "\n\n", "via via via 5", "°" * 50, "a. b. c. 1/", "Via " + "a b" * 2000 + " 3"):
         reader.read(text)
 
 
@@ -43,14 +48,35 @@ def test_distances():
     assert typo_distance("zaripopica", "zairpopica") == 1
     assert typo_distance("valdorsena", "valdorsella") == 3
     assert typo_distance("abcdef", "uvwxyz") == 3
+    assert typo_distance("x" * 60 + "ab" + "y" * 60, "x" * 60 + "ba" + "y" * 60) == 1
     assert jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert jaro_winkler("", "a") == 0.0
     assert "acd" in deletions("abcd", 1) and "cd" not in deletions("abcd", 1)
     assert NearIndex(["alimentari", "farmacia"]).find("aliemntari") == [(1, "alimentari")]
 
 
+def _mistyped(rnd, word, errors):
+    for _ in range(errors):
+        i = rnd.randrange(len(word) - 1)
+        word = rnd.choice([word[:i] + word[i + 1 :], word[:i] + rnd.choice("aeiort") + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]])
+    return word
+
+
+def test_codes_miss_no_near_word():
+    """Words of any length within the error limit share a blocking code."""
+    rnd = random.Random(5)
+    for n in [*range(5, 46), 80, 300]:
+        for _ in range(6):
+            w = "".join(rnd.choice("abcdefghilmnoprstuvz") for _ in range(n))
+            v = _mistyped(rnd, w, rnd.randint(1, 2))
+            if v != w and typo_distance(w, v) <= (2 if min(len(w), len(v)) >= 7 else 1):
+                assert set(blocking_codes(w)) & set(blocking_codes(v)), (w, v)
+
+
 def test_near_words_against_brute_force(spark):
-    words = ["zaripopica", "zairpopica", "zaripopca", "zripopca", "boracomuze", "boracomuxe", "short", "shrt", "other", None, "zaripopica"]
+    rnd = random.Random(3)
+    long = "boracomuzevalledugosudozamocagitevusitotulovi"
+    words = ["zaripopica", "zairpopica", "zaripopca", "zripopca", "boracomuze", "boracomuxe", "short", "shrt", "other", None, "zaripopica", long, _mistyped(rnd, long, 1), _mistyped(rnd, long, 2), long * 3, _mistyped(rnd, long * 3, 2)]
     got = {(r["a"], r["b"]) for r in near_words(spark.createDataFrame([(w,) for w in words], "word string"), 0.0).collect()}
     plain = sorted({w for w in words if w and len(w) >= 5})
     limit = lambda w: 2 if len(w) >= 7 else 1
@@ -67,11 +93,25 @@ def test_same_address_pairs(spark):
     got = {tuple(r) for r in same_address_pairs(df).collect()}
     assert got == {(a, b) for a in same for b in same if a < b}
     assert same_address_pairs(df.limit(0)).count() == 0
-    assert localities(df) == {"99000": "dugosudoza", "99001": "mocagitevu"}
+    assert gazetteer(df) == ({"99000": "dugosudoza", "99001": "mocagitevu"}, frozenset())
     ids = {r["value"]: r["address_id"] for r in address_ids(df).collect()}
     assert ids["vedi sito"] is None and ids["Via don Zaripopica"] is None and len(ids) == len({v for v, _ in rows if v is not None})
 
 
+def test_other_streets_stay_apart(spark):
+    apart = ["Via Monte Baldo 3", "Via Monte Zugna 3", "Via Francesco Rossi 4", "Via Giuseppe Rossi 4", "Via Rossi 4 bis", "Via IV Novembre 5", "Via XX Novembre 5"]
+    assert same_address_pairs(spark.createDataFrame([(v,) for v in apart], "value string")).count() == 0
+    same = ["Via Aldo Moro 7", "V. Moro, 7", "Via F. Rossi 4", "VIA FRANCESCO ROSSI N. 4", "Viale Quattro Novembre 2", "V.le 4 Novembre, 2", "Via Monte Baldo 3", "via m. baldo 3"]
+    got = {tuple(r) for r in same_address_pairs(spark.createDataFrame([(v,) for v in same], "value string")).collect()}
+    assert got >= {("V. Moro, 7", "Via Aldo Moro 7"), ("VIA FRANCESCO ROSSI N. 4", "Via F. Rossi 4"), ("V.le 4 Novembre, 2", "Viale Quattro Novembre 2")}
+
+
+def test_towns_are_learnt(spark):
+    rows = ["Via A 1, 10000 Alba", "Via B 2, 10001 Bruna", "Piazza C 3, Alba di Granvalle", "Piazza D 4 - Bruna di Granvalle", "Alba", None, ""]
+    got = gazetteer(spark.createDataFrame([(v,) for v in rows], "value string"))
+    assert got.towns == {"granvalle"} and got.by_code == {"10000": "alba", "10001": "bruna"}
+
+
 def test_long_and_tied_values(spark):
     df = spark.createDataFrame([("Via Boracomuze 5" + " " * 50_000,), ("Via Boracomuze 5",), ("Via Boracomuxe 5",)], "value string")
     assert same_address_pairs(df).select(F.count("*")).first()[0] == 3
