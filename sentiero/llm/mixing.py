@@ -9,6 +9,8 @@ from ..runtime import stage
 
 #: Documents that one bucket of a source's shuffled order holds about.
 BUCKET_ROWS = 50_000
+#: Sources up to which the table of their shares goes to every task.
+FEW_SOURCES = 10_000
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -26,13 +28,13 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     """
     one = stage(sizes.where("id is not null and source is not null and tokens > 0").groupBy("id").agg(F.max(F.struct("tokens", "source")).alias("r")).select("id", "r.source", "r.tokens"))
     wanted = targets.where("target_weight > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("passes"))
-    held = one.groupBy("source").agg(F.sum("tokens").alias("held"), F.count("*").alias("docs")).join(F.broadcast(wanted), "source")
-    # One row for each source that has a target: the table of targets bounds it.
+    held = one.groupBy("source").agg(F.sum("tokens").alias("held"), F.count("*").alias("docs")).join(wanted, "source")
     of = held.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1))))
     total = float(total_tokens) if total_tokens is not None else (of.agg(F.min(F.col("held") * F.col("passes") / F.col("w"))).first()[0] or 0.0)
     of = of.withColumn("budget", F.col("w") * F.lit(total)).withColumn("used", F.least(F.col("passes"), F.ceil(F.col("budget") / F.col("held")).cast("int"))).withColumn("buckets", F.ceil(F.col("docs") / F.lit(bucket_rows)).cast("int"))
     of = stage(of.select("source", "w", "budget", "held", "used", "buckets"))
-    each = one.join(F.broadcast(of), "source").withColumn("pass", F.explode(F.sequence(F.lit(1), F.greatest("used", F.lit(1)))))
+    # One row for each source with a target; only where these are few they go to every task.
+    each = one.join(F.broadcast(of) if of.count() <= FEW_SOURCES else of, "source").withColumn("pass", F.explode(F.sequence(F.lit(1), F.greatest("used", F.lit(1)))))
     each = each.withColumn("h", F.xxhash64("id", "pass", F.lit(seed))).withColumn("bucket", F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("buckets")).cast("int"), F.col("buckets") - 1))
     sums = each.groupBy("source", "pass", "bucket").agg(F.sum("tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("pass", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

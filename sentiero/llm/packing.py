@@ -128,17 +128,15 @@ def _place(layouts: dict[str, Layout]):
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at = np.empty(len(b), np.int64)
-            for i, (kind, n, nth) in enumerate(zip(b["container_kind"], b["tokens"], b["nth"], strict=True)):
+            nth = b["nth"].to_numpy()
+            # All items of one length go by one look-up among the runs of their group.
+            for (kind, n), rows in b.groupby(["container_kind", "tokens"]).indices.items():
                 layout = layouts[kind]
-                g, rank = layout.first_rank[n]
-                rank += nth
-                runs = layout.runs[g]
-                lo, hi = 0, len(runs) - 1
-                while lo < hi:
-                    mid = (lo + hi + 1) // 2
-                    lo, hi = (mid, hi) if runs[mid][0] <= rank else (lo, mid - 1)
-                first, container, per = runs[lo]
-                at[i] = container + (rank - first) // per
+                g, first_rank = layout.first_rank[n]
+                starts, containers, per = np.array(layout.runs[g], np.int64).T
+                rank = first_rank + nth[rows]
+                run = np.searchsorted(starts, rank, side="right") - 1
+                at[rows] = containers[run] + (rank - starts[run]) // per[run]
             yield pd.DataFrame({"container_kind": b["container_kind"], "slot": at, "id": b["id"], "piece": b["piece"], "tokens": b["tokens"]})
 
     return place
@@ -185,10 +183,11 @@ def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     sizes are optimised on the driver from the length histogram, which has no more entries than tokens in a capacity;
     actual items take the slots by their rank, found without a global sort. Small items are best-fitted into what is
     left, in shards of bounded size; each shard leaves at most one container badly filled. Null ids or sizes and items
-    of no tokens take no container; repeated rows of an id count once; equal lengths go by id; empty tables give no rows.
+    of no tokens take no container; repeated rows of an id count once; equal lengths go by id; empty tables give no rows. A kind given with several capacities has the greatest.
     """
     spark = sizes.sparkSession
-    kinds = {r["container_kind"]: int(r["capacity_tokens"]) for r in containers.where("capacity_tokens > 0").distinct().limit(1000).collect()}
+    # One plan is made for each kind, so kinds are a table of parameters.
+    kinds = {r["container_kind"]: int(r["capacity"]) for r in containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity")).collect()}
     if not kinds:
         return spark.createDataFrame([], "container_kind string, container string, id bigint, piece int, tokens bigint, unused bigint")
     one = stage(sizes.where("id is not null and tokens > 0").groupBy("id").agg(F.max("tokens").alias("tokens")))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .addresses import same_address_pairs
+from .addresses import address_ids, same_address_pairs
 from .entity_match import match_entities
 
 from .mixing import mix, mix_report
-from .names import same_name_pairs
+from .names import name_ids, same_name_pairs
 from .packing import pack, packing_report
 from .section_profile import SECTION_FEATURES
 from .similarity_groups import describe, similarity_groups
@@ -59,6 +59,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("nome_a"), F.col("b").alias("nome_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its organisation: one row each, however many spellings an organisation has."""
+    ids = name_ids(_names(spark, sf_dir), gazetteer(_addresses(spark, sf_dir)))
+    return ids.select(F.col("value").alias("nome"), F.col("org_id").alias("organizzazione"), "activity", "word", "given", "number")
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every writing with its civic address: one row each, however many writings an address has."""
+    return address_ids(_addresses(spark, sf_dir)).select(F.col("value").alias("indirizzo"), F.col("address_id").alias("indirizzo_civico"), "kind", "word", "number", "suffix", "locality")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writings that denote the same civic address."""
     return same_address_pairs(_addresses(spark, sf_dir)).select(F.col("a").alias("indirizzo_a"), F.col("b").alias("indirizzo_b"))
@@ -106,7 +117,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of cut notebooks by source."""
+    """By source the notebooks at a length spike, those of them without terminal punctuation, and those cut by both tests."""
     return truncation_report(truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
@@ -117,7 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p3_found": p3_found,
+        "p3_classes": p3_classes,
         "p5_found": p5_found,
+        "p5_classes": p5_classes,
         "p7_containers": p7_containers,
         "p7_report": p7_report,
         "p8_mix": p8_mix,

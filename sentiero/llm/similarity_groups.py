@@ -15,6 +15,8 @@ from ..runtime import stage
 
 #: Rows of the sample that places the planes of the random-projection trees; every row is then placed and searched.
 SAMPLE_ROWS = 20_000
+#: Records of a community that one task compares with as many others.
+PAIR_BLOCK = 2_000
 
 
 class Feature(NamedTuple):
@@ -69,16 +71,23 @@ def clean(df: DataFrame, key: str, features: Sequence[Feature]) -> DataFrame:
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, near): the ``k`` nearest (d, other) of each id among pairs (id, other, d), repeated ones once."""
+    """(id, other, d): the ``k`` nearest of each id among pairs (id, other, d), repeated ones once.
+
+    A limit within each task comes before the shuffle, so a row that is near to very many is never gathered whole.
+    """
     distinct = pairs.groupBy("id", "other").agg(F.min("d").alias("d"))
-    return distinct.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("near"))
+    by = Window.partitionBy("id").orderBy("d", "other")
+    return distinct.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).drop("r")
 
 
 def neighbour_descent(points: DataFrame, features: Sequence[Feature], k: int = 12, trees: int = 4, leaf: int = 96, rounds: int = 2, seed: int = 5) -> DataFrame:
     """Approximate nearest neighbours (id, other, d) of ``points`` (id, v).
 
     Random-projection trees give each point its first neighbours; each round joins the neighbours of every point, both
-    ways, with each other and keeps the ``k`` nearest. Tree planes come from a bounded sample; all points are placed.
+    ways, with each other and keeps the ``k`` nearest. Tree planes come from a bounded sample; all points are placed, and
+    where the table is so large that a leaf of the sample's tree holds more than ``leaf`` rows, the task that has it cuts
+    it further, so leaves have one size whatever the number of rows. A round only hands on pairs nearer than the k-th
+    neighbour a point has already.
     """
     spark = points.sparkSession
     n = points.count()
@@ -105,8 +114,8 @@ def neighbour_descent(points: DataFrame, features: Sequence[Feature], k: int = 1
                 row, at = splits.reach(x @ axes, 0.0)
                 yield pd.DataFrame({"tree": t, "leaf": at, "id": b["id"].to_numpy()[row], "v": b["v"].to_numpy()[row]})
 
-    def nearest(ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        """The k nearest of each row within one set, in blocks."""
+    def nearest(ids: np.ndarray, v: np.ndarray, within: np.ndarray | None = None) -> pd.DataFrame:
+        """The k nearest of each row within one set, in blocks; only those nearer than ``within`` of the row."""
         out_i, out_o, out_d = [], [], []
         step = max(1, 200_000 // max(len(ids), 1))
         for i in range(0, len(ids), step):
@@ -116,30 +125,45 @@ def neighbour_descent(points: DataFrame, features: Sequence[Feature], k: int = 1
             if kk < 1:
                 continue
             by = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-            out_i.append(np.repeat(ids[i : i + step], kk))
-            out_o.append(ids[by].ravel())
-            out_d.append(np.take_along_axis(d, by, 1).ravel())
+            far = np.take_along_axis(d, by, 1)
+            keep = far < (np.inf if within is None else within[i : i + step, None])
+            out_i.append(np.repeat(ids[i : i + step], kk)[keep.ravel()])
+            out_o.append(ids[by][keep])
+            out_d.append(far[keep])
         if not out_i:
             return pd.DataFrame({"id": np.empty(0, np.int64), "other": np.empty(0, np.int64), "d": np.empty(0)})
         return pd.DataFrame({"id": np.concatenate(out_i), "other": np.concatenate(out_o), "d": np.concatenate(out_d)})
 
     kind = "id bigint, other bigint, d double"
     placed = points.mapInPandas(place, "tree int, leaf int, id bigint, v array<double>")
-    first = placed.groupBy("tree", "leaf").applyInPandas(lambda g: nearest(g["id"].to_numpy(), _matrix(g["v"])), kind)
-    graph = stage(_top(first, k).select("id", F.explode("near").alias("e")).select("id", "e.other", "e.d"))
+
+    def in_leaf(g: pd.DataFrame) -> pd.DataFrame:
+        ids, v = g["id"].to_numpy(), _matrix(g["v"])
+        if len(ids) <= 2 * leaf:
+            return nearest(ids, v)
+        x = flat(v) @ shared.value[int(g["tree"].iloc[0])][0]
+        row, at = Splits(x, leaf).reach(x, 0.0)
+        row = row[np.argsort(at, kind="stable")]
+        cuts = np.cumsum(np.bincount(at))[:-1]
+        return pd.concat([nearest(ids[r], v[r]) for r in np.split(row, cuts) if len(r)])
+
+    first = placed.groupBy("tree", "leaf").applyInPandas(in_leaf, kind)
+    graph = stage(_top(first, k))
 
     def local_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [nearest(np.array(m, dtype=np.int64), np.array(v, dtype=float).reshape(len(m), -1)) for m, v in zip(b["members"], b["vectors"], strict=True)]
+            found = [nearest(np.array(m, dtype=np.int64), np.array(v, dtype=float).reshape(len(m), -1), np.array(w, dtype=float)) for m, v, w in zip(b["members"], b["vectors"], b["within"], strict=True)]
             if found:
                 yield pd.concat(found)
 
     for _ in range(rounds):
         both = graph.unionByName(graph.select(F.col("other").alias("id"), F.col("id").alias("other"), "d"))
-        members = _top(both, 2 * k).select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("member")).unionByName(points.select("id", F.col("id").alias("member")))
-        with_v = members.join(points.select(F.col("id").alias("member"), "v"), "member")
-        lists = with_v.groupBy("id").agg(F.collect_list(F.struct("member", "v")).alias("m")).select(F.col("m.member").alias("members"), F.flatten("m.v").alias("vectors"))
-        graph = stage(_top(graph.unionByName(lists.mapInPandas(local_join, kind)), k).select("id", F.explode("near").alias("e")).select("id", "e.other", "e.d"))
+        members = _top(both, 2 * k).select("id", F.col("other").alias("member")).unionByName(points.select("id", F.col("id").alias("member")))
+        # A point with k neighbours wants nearer ones only; single precision will do to find them.
+        worst = graph.groupBy(F.col("id").alias("member")).agg(F.when(F.count("*") >= k, F.max("d")).otherwise(float("inf")).cast("float").alias("within"))
+        known = points.select(F.col("id").alias("member"), F.transform("v", lambda x: x.cast("float")).alias("v")).join(worst, "member", "left").withColumn("within", F.coalesce("within", F.lit(float("inf")).cast("float")))
+        lists = members.join(known, "member").groupBy("id").agg(F.collect_list(F.struct("member", "v", "within")).alias("m")).select(F.col("m.member").alias("members"), F.flatten("m.v").alias("vectors"), F.col("m.within").alias("within"))
+        graph = stage(_top(graph.unionByName(lists.mapInPandas(local_join, kind)), k))
     return graph
 
 
@@ -194,11 +218,12 @@ def similarity_groups(df: DataFrame, key: str, features: Sequence[Feature], leas
     Impossible values are missing; missing and wrong-unit values are left aside; at least ``least_shared`` attributes
     (default two thirds) must be there on both sides. Records with the same values are one point of the graph and come
     apart again at the end. Edges of the neighbour graph are those that agree exactly; a community's most typical
-    members are those of the greatest internal weighted degree. Records without neighbours are in no community. Null
+    members are those of the greatest internal weighted degree. Records without neighbours or with fewer attributes are in no community. Null
     keys are left out; repeated rows count once; an empty table gives empty results; other columns are not read.
     """
     shared_least = least_shared if least_shared is not None else -(-2 * len(features) // 3)
-    rows = stage(clean(df, key, features))
+    # A record with fewer attributes can agree with none, so it takes no part.
+    rows = stage(clean(df, key, features).where(F.size(F.filter("v", lambda x: x.isNotNull())) >= shared_least))
     points = stage(rows.groupBy("v").agg(F.min("id").alias("id"), F.collect_list("id").alias("ids")))
     graph = neighbour_descent(points.select("id", "v"), features, k)
     one_way = graph.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "d").distinct()
@@ -218,9 +243,13 @@ def similarity_groups(df: DataFrame, key: str, features: Sequence[Feature], leas
     of_point = of_point.join(degree, "id", "left")
     copies = points.join(of_point, "id", "left").where(F.col("community").isNotNull() | (F.size("ids") > 1))
     members = stage(copies.select(F.explode("ids").alias("id"), F.coalesce("community", "id").alias("community"), (F.coalesce("degree", F.lit(0.0)) + F.size("ids") - 1).alias("degree"), "v"))
-    left = members.select("community", F.col("id").alias("a"), F.col("v").alias("va"))
-    right = members.select("community", F.col("id").alias("b"), F.col("v").alias("vb"))
-    near = left.join(right, "community").where(F.col("a") < F.col("b")).select("a", "b", "va", "vb")
+    # A large community is cut into blocks that meet each other in tasks of their own.
+    blocks = members.groupBy("community").agg(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)).cast("int").alias("blocks"))
+    cut = members.join(blocks, "community").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = cut.select("community", F.col("id").alias("a"), F.col("v").alias("va"), F.col("block").alias("x"), other.alias("y"))
+    right = cut.select("community", F.col("id").alias("b"), F.col("v").alias("vb"), F.col("block").alias("y"), other.alias("x"))
+    near = left.join(right, ["community", "x", "y"]).where(F.col("a") < F.col("b")).select("a", "b", "va", "vb")
     return Groups(members.select("id", "community", "degree"), near.mapInPandas(check, "a bigint, b bigint"))
 
 

@@ -30,12 +30,19 @@ def _tail(line: str) -> str:
     """The shape of a line's end: its last two tokens (three where the last is a number), digits as 9, whole numbers of
     any length alike; dots of an ellipsis are one token."""
     dots = line.endswith("...")
-    found = _TOKEN.findall(line[-60:].rstrip(".").translate(_NINES) if dots else line[-60:].translate(_NINES))
+    end = _end_part(line)
+    found = _TOKEN.findall(end.rstrip(".").translate(_NINES) if dots else end.translate(_NINES))
     found = found[-3 if found and found[-1].startswith("9") else -2 :]
     shape = ["9" if t.startswith("9") and "." not in t else "9." + t.rpartition(".")[2] if t.startswith("9") else t for t in found]
     return " ".join([*shape, "..."] if dots else shape)
 
 
+def _end_part(line: str) -> str:
+    """The end of a line that holds its last three tokens whole: 60 characters where these hold three blanks, else all."""
+    end = line[-60:]
+    return end if end.rstrip().count(" ") >= 4 else line
+
+
 def _decided(line: str) -> bool:
     """Whether a line's last character alone tells that it is whole."""
     return (line[-1] in _TERMINAL or line[-1] in _CLOSING) and not line.endswith("...")
@@ -79,13 +86,13 @@ def end_of(text: str) -> tuple[str, int]:
 def text_ends(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """One scan of the texts: a row of each text's lengths and end, and rows of counted line ends.
 
-    Rows (id, source, chars, bytes, verdict, mark, end, lines): for texts with lines null; for counted ends only end and
+    Rows (id, source, chars, bytes, verdict, mark, terminal, end, lines): for texts with lines null; for counted ends only end and
     lines. Ends are counted over all lines that another line follows, so a cut text adds none of its own.
     """
 
     kind = df.schema[key].dataType.simpleString()
     long, text_kind = LongType(), StringType()
-    parts = {"id": df.schema[key].dataType, "source": text_kind, "chars": long, "bytes": long, "verdict": text_kind, "mark": BooleanType(), "end": long, "lines": long}
+    parts = {"id": df.schema[key].dataType, "source": text_kind, "chars": long, "bytes": long, "verdict": text_kind, "mark": BooleanType(), "terminal": BooleanType(), "end": long, "lines": long}
     schema = to_arrow_schema(StructType([StructField(n, t) for n, t in parts.items()]))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -96,7 +103,7 @@ def text_ends(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         tails: Counter = Counter()
         for line, n in ends.items():
             tails[_tail(line)] += n
-        return batch_of([(None,) * 6 + (_digest(t), n) for t, n in tails.items()])
+        return batch_of([(None,) * 7 + (_digest(t), n) for t, n in tails.items()])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends: Counter = Counter()
@@ -106,9 +113,9 @@ def text_ends(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
                 if t is None:
                     continue
                 verdict, end = end_of(t)
-                rows.append((k, s, len(t), len(t.encode("utf-8", "surrogatepass")), verdict, bool(t.rstrip().endswith(CUT_MARKS) or (verdict == "ask" and t.rstrip()[-1:].isdigit())), end if verdict == "ask" else None, None))
+                rows.append((k, s, len(t), len(t.encode("utf-8", "surrogatepass")), verdict, bool(t.rstrip().endswith(CUT_MARKS) or (verdict == "ask" and t.rstrip()[-1:].isdigit())), t[-1:] in _TERMINAL, end if verdict == "ask" else None, None))
                 if t.lstrip()[:1] not in ("{", "["):
-                    ends.update(line[-60:] for line in t.split("\n")[:-1] if line and not _decided(line))
+                    ends.update(_end_part(line) for line in t.split("\n")[:-1] if line and not _decided(line))
             yield batch_of(rows)
             if len(ends) > 200_000:
                 yield flush(ends)
@@ -116,7 +123,7 @@ def text_ends(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         yield flush(ends)
 
     cols = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{source}`").alias("s")).where(F.col("k").isNotNull())
-    return cols.mapInArrow(scan, f"id {kind}, source string, chars bigint, bytes bigint, verdict string, mark boolean, end bigint, lines bigint")
+    return cols.mapInArrow(scan, f"id {kind}, source string, chars bigint, bytes bigint, verdict string, mark boolean, terminal boolean, end bigint, lines bigint")
 
 
 def length_spikes(texts: DataFrame, least: int = 5, times: float = 8.0) -> DataFrame:
@@ -136,19 +143,20 @@ def length_spikes(texts: DataFrame, least: int = 5, times: float = 8.0) -> DataF
 
 
 def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(id, source, chars, at_limit, truncated) of every non-null text of ``df``.
+    """(id, source, chars, at_limit, unterminated, truncated) of every non-null text of ``df``.
 
     A text is truncated if it lies at its source's spike length, in characters or bytes, and has no whole end or shows a
     limit's mark there; or, at any length, if its end is none a whole text has: JSON that breaks off, an open code fence
     or bracket, a shorter row under a table, or a last line without a final mark whose last two tokens end no line
     followed by another. Ends are counted over all texts; an end counts as whole if it closes one line for ten texts
     that end with it. A final line break, terminal punctuation or a closing bracket or quote is a whole end; at the
-    spike a number that isn't closed by any of these is none. Null sources are one source; repeated rows of a key count once; empty texts are whole; an empty table
+    spike a number that isn't closed by any of these is none. ``unterminated`` is the plain test of its own: at a spike
+    length, in characters or bytes, and the last character is no terminal punctuation. Null sources are one source; repeated rows of a key count once; empty texts are whole; an empty table
     gives no rows.
     """
     scanned = stage(text_ends(df, key, text, source))
     texts = scanned.where(F.col("id").isNotNull())
-    texts = texts.groupBy("id").agg(F.max(F.struct("source", "chars", "bytes", "verdict", "mark", "end")).alias("r")).select("id", "r.*")
+    texts = texts.groupBy("id").agg(F.max(F.struct("source", "chars", "bytes", "verdict", "mark", "terminal", "end")).alias("r")).select("id", "r.*")
     lines = scanned.where(F.col("id").isNull()).groupBy("end").agg(F.sum("lines").alias("lines"))
     asked = texts.where(F.col("end").isNotNull()).groupBy("end").agg(F.count("*").alias("texts"))
     known = asked.join(lines, "end").where(10 * F.col("lines") >= F.col("texts")).select("end", F.lit(True).alias("known"))
@@ -157,9 +165,11 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     named = texts.withColumn("src", F.coalesce("source", F.lit(""))).join(limit("chars"), "src", "left").join(limit("bytes"), "src", "left").join(known, "end", "left")
     at_limit = F.coalesce(F.col("chars") == F.col("top_chars"), F.lit(False)) | F.coalesce((F.col("bytes") >= F.col("top_bytes") - 3) & (F.col("bytes") <= F.col("top_bytes")), F.lit(False))
     broken = (F.col("verdict") == "cut") | ((F.col("verdict") == "ask") & F.col("known").isNull())
-    return named.select("id", "source", "chars", at_limit.alias("at_limit"), (broken | (at_limit & F.col("mark"))).alias("truncated"))
+    return named.select("id", "source", "chars", at_limit.alias("at_limit"), (at_limit & ~F.col("terminal")).alias("unterminated"), (broken | (at_limit & F.col("mark"))).alias("truncated"))
 
 
 def truncation_report(flags: DataFrame) -> DataFrame:
-    """(source, texts, truncated_texts, share) per source."""
-    return flags.groupBy("source").agg(F.count("*").alias("texts"), F.count_if("truncated").alias("truncated_texts")).withColumn("share", F.col("truncated_texts") / F.col("texts"))
+    """(source, texts, at_limit, unterminated, truncated_texts, share) per source: how many lie at a length spike, how many of
+    these have no terminal punctuation, and how many are truncated by both tests together."""
+    counts = [F.count_if(c).alias(n) for c, n in (("at_limit", "at_limit"), ("unterminated", "unterminated"), ("truncated", "truncated_texts"))]
+    return flags.groupBy("source").agg(F.count("*").alias("texts"), *counts).withColumn("share", F.col("truncated_texts") / F.col("texts"))

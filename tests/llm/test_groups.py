@@ -46,6 +46,33 @@ def test_copies_and_empty(spark):
     assert empty.pairs.count() == 0 and empty.members.count() == 0
 
 
+def test_sparse_records_take_no_part(spark):
+    """Records with fewer attributes than must be shared make no group, however many they are."""
+    rows = [(i, *[None] * 12) for i in range(500)] + [(1000 + i, *[5.0] * 3, *[None] * 9) for i in range(50)]
+    groups = similarity_groups(spark.createDataFrame(rows, f"id bigint, {', '.join(f'{n} double' for n in NAMES)}"), "id", SECTION_FEATURES)
+    assert groups.members.count() == 0 and groups.pairs.count() == 0
+
+
+def test_leaves_are_cut_in_the_task(spark, monkeypatch):
+    """A small sample makes large leaves, which are cut again: the neighbours found stay the same in quality."""
+    from sentiero.llm import similarity_groups as S
+
+    rng = np.random.default_rng(8)
+    m = np.repeat(np.exp(rng.uniform(2, 5, (120, 12))), 10, axis=0) * rng.uniform(0.9, 1.1, (1200, 12))
+    points = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id bigint, v array<double>")
+    monkeypatch.setattr(S, "SAMPLE_ROWS", 40)
+    got = {}
+    for r in S.neighbour_descent(points, SECTION_FEATURES, k=8, leaf=64).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    hits = total = 0
+    for i in range(0, 1200, 25):
+        d = S.distance(m[i][None], m, SECTION_FEATURES)
+        d[i] = np.inf
+        near = set(np.argsort(d)[:8].tolist())
+        hits, total = hits + len(near & got[i]), total + len(near)
+    assert hits >= 0.9 * total
+
+
 def test_communities_of_cliques(spark):
     edges = [(10 * g + i, 10 * g + j, 1.0) for g in range(6) for i in range(6) for j in range(i + 1, 6)] + [(10 * g, 10 * g + 10, 0.05) for g in range(5)]
     got = communities(spark.createDataFrame(edges, "a bigint, b bigint, w double")).groupBy("community").agg(F.sort_array(F.collect_list("id")).alias("m")).collect()

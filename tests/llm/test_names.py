@@ -30,7 +30,7 @@ VOCABULARY = Vocabulary(
         ("Valdorsena, Municipio", ("comune", "valdorsena", (), "")),
         ("S. Primaria Bimopagore", ("primaria scuola", "bimopagore", (), "")),
         ("Bar Fiore Bianco", ("bar", "bianco fiore", (), "")),
-        ("Studio Tecn. D'Angelo", ("studio tecnico", "angelo", (), "")),
+        ("Studio Tecn. D'Amico", ("studio tecnico", "amico", (), "")),
         ("-", None),
         ("", None),
         (None, None),

@@ -22,6 +22,14 @@ def test_ends(text, verdict):
     assert end_of(text)[0] == verdict
 
 
+def test_long_last_tokens_are_whole():
+    from sentiero.llm.truncation import _tail
+
+    a, b = "x" * 100 + "one", "y" * 100 + "one"
+    assert _tail(f"the {a}") != _tail(f"the {b}") and _tail(f"the {a}") == f"the {a}"
+    assert _tail("una riga " * 30 + "di testo") == "di testo"
+
+
 def test_limits_and_losses(spark):
     rows = [(i, _text(i, 3 + i % 17), "free") for i in range(300)]
     rows += [(1000 + i, _text(i, 3 + i % 17)[:900], "chars") for i in range(300)]
@@ -37,5 +45,7 @@ def test_limits_and_losses(spark):
     at = [i for i, t, s in rows if s != "free" and len(t.encode()) >= 900 and t[-1] not in ".\n"]
     assert len(at) > 20 and sum(flags[i]["truncated"] for i in at) >= 0.97 * len(at)
     report = {r["source"]: r for r in truncation_report(truncated(df, "doc", "body", "src")).collect()}
-    assert report["free"]["truncated_texts"] == 10
+    assert report["free"]["truncated_texts"] == 10 and report["free"]["unterminated"] == 0
+    plain = {i for i, t, s in rows if s == "chars" and len(t) == 900 and t[-1] not in ".!?;"}
+    assert plain == {i for i in flags if 1000 <= i < 2000 and flags[i]["unterminated"]} and report["chars"]["unterminated"] == len(plain)
     assert truncated(df.limit(0), "doc", "body", "src").count() == 0
