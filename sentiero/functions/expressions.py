@@ -185,6 +185,16 @@ def mean_of(*cs: Column, default: float = 50.0) -> Column:
     return F.when(n > 0, total / n).otherwise(default)
 
 
+def least_of(*cs: Column) -> Column:
+    """Least of the columns that aren't null, also of a single one; null for none."""
+    return F.array_min(F.array(*cs))
+
+
+def sum_of(*cs: Column) -> Column:
+    """Sum of the columns, null as 0."""
+    return sum((F.coalesce(c.cast("double"), F.lit(0.0)) for c in cs), F.lit(0.0))
+
+
 def date_in_title(title: Column) -> Column:
     """The text after the last " di " of a title, null where there is none."""
     return F.nullif(F.trim(F.regexp_extract(title, r" di (.+)$", 1)), F.lit(""))

@@ -41,6 +41,21 @@ def centroid(ring: Column) -> Column:
     return point(F.when(a6 != 0, sx / a6).otherwise(mean("x")), F.when(a6 != 0, sy / a6).otherwise(mean("y")))
 
 
+def inner_point(ring: Column) -> Column:
+    """A point surely inside the ring: the middle of the widest stretch that a level line near mid-height has in it.
+
+    The level lies half-way between the corner heights next to the middle, so it meets no corner. Null for a ring without
+    height.
+    """
+    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    middle = (F.array_min(ys) + F.array_max(ys)) / 2
+    level = (F.array_max(F.filter(ys, lambda y: y <= middle)) + F.array_min(F.filter(ys, lambda y: y > middle))) / 2
+    crossing = F.filter(_edges(ring), lambda e: (e["a"]["y"] > level) != (e["b"]["y"] > level))
+    xs = F.array_sort(F.transform(crossing, lambda e: e["a"]["x"] + (level - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+    stretches = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(2)), lambda i: F.struct((F.get(xs, i) - F.get(xs, i - 1)).alias("w"), ((F.get(xs, i) + F.get(xs, i - 1)) / 2).alias("x")))
+    return F.when(F.size(xs) >= 2, point(F.array_max(stretches)["x"], level))
+
+
 def bounds(ring: Column) -> Column:
     """Struct (x0, y0, x1, y1)."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])

@@ -11,6 +11,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+
 #: Rows that the hierarchy, whose pairs are all compared, takes at most; more raise.
 WARD_ROWS = 5_000
 
@@ -76,7 +78,7 @@ def ward_groups(df: DataFrame, key: str, features: Sequence[str], k: int) -> Dat
 def kmeans_groups(df: DataFrame, key: str, features: Sequence[str], k: int, starts: int = 30, seed: int = 42) -> DataFrame:
     """(key, cluster): k-means on standardised features, the cheapest of several starts; distributed."""
     vectors = VectorAssembler(inputCols=list(features), outputCol="__raw").transform(df)
-    scaled = StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vectors).transform(vectors).select(key, "features").persist()
+    scaled = stage(StandardScaler(inputCol="__raw", outputCol="features", withMean=True).fit(vectors).transform(vectors).select(key, "features"))
     models = [KMeans(k=k, seed=seed + i, initSteps=2).fit(scaled) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(scaled).select(key, F.col("prediction").cast("int").alias("cluster"))

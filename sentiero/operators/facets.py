@@ -30,6 +30,12 @@ def facet_counts(df: DataFrame, dimensions: Sequence[str], chosen: Mapping[str,
     return counted.join(F.broadcast(totals), "dimensione").select("dimensione", "valore", "n", (F.col("n") / F.col("all")).alias("quota"))
 
 
+def collated_counts(df: DataFrame, value: str, collation: str = "IT") -> DataFrame:
+    """(value, n): counts, most frequent first, equal counts in the order of a language's collation. Nulls don't count."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
+    return counted.orderBy(F.desc("n"), F.collate(value, collation), value)
+
+
 def unpivot_summary(df: DataFrame) -> DataFrame:
     """(indicatore, valore): a one-row aggregate as rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("indicatore"), F.col(c).cast("double").alias("valore")) for c in df.columns])

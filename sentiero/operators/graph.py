@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import tobler_kmh
 from ..functions.geometry import line_length
+from .ranking import exact_quantiles
 from ..runtime import stage
 from .components import connected_components
 
@@ -129,6 +130,21 @@ def best_stop_of_node(stops: DataFrame) -> DataFrame:
     return stops.groupBy("node").agg(F.max_by("stop_id", F.struct("passaggi", -F.col("ord"))).alias("stop_id"))
 
 
+def slope_penalty(minutes: Column, flat_minutes: Column) -> Column:
+    """By how many percent a walk takes longer than on the flat, rounded half-even; null for no flat time."""
+    return F.bround((F.try_divide(minutes, flat_minutes) - 1) * 100, 0)
+
+
+def network_statistics(edges: DataFrame) -> DataFrame:
+    """One row over edges (d, grade, kmh, t in minutes): km, mean grade, median of its size, mean speed, hours.
+
+    The median comes from counts of distinct values by range buckets (``exact_quantiles``).
+    """
+    sums = edges.agg((F.sum("d") / 1000).alias("km"), F.avg("grade").alias("pendenza_media"), F.avg("kmh").alias("velocita_media"), (F.sum("t") / 60).alias("ore"))
+    middle = exact_quantiles(edges.select(F.abs("grade").alias("v")), ["v"], (0.5,))
+    return sums.crossJoin(F.broadcast(middle.select(F.col("v")[0].alias("pendenza_mediana"))))
+
+
 def edge_times(edges: DataFrame, times: DataFrame) -> DataFrame:
     """(src, dst, media): mean of the times (id, t) of an edge's two ends."""
     a, b = times.select(F.col("id").alias("src"), F.col("t").alias("ta")), times.select(F.col("id").alias("dst"), F.col("t").alias("tb"))

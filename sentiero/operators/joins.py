@@ -33,6 +33,16 @@ def resolve_column(columns: Iterable[str], candidates: Sequence[str], required:
     return None
 
 
+def matching_columns(columns: Iterable[str], pattern: str) -> list[str]:
+    """The columns whose name a pattern finds, in their order."""
+    return [c for c in columns if re.search(pattern, c)]
+
+
+def shared_columns(*dfs: DataFrame) -> list[str]:
+    """Columns that all tables have, in the order of the first."""
+    return [c for c in dfs[0].columns if all(c in d.columns for d in dfs[1:])]
+
+
 def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
     """All columns but the key with a prefix."""
     return df.select(key, *[F.col(f"`{c}`").alias(prefix + c) for c in df.columns if c != key])

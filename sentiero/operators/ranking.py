@@ -60,6 +60,30 @@ def percentile_scores(df: DataFrame, key: str, columns: Sequence[str], constant:
     return at.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("__c") == c, F.col("__s"))), F.lit(constant)).alias(c) for c in columns])
 
 
+def exact_quantiles(df: DataFrame, values: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """One row with, for each of ``values``, the array of its exact quantiles at ``shares``, interpolated linearly.
+
+    Ranks come from counts of the distinct values by range buckets, so neither a task nor a buffer holds a whole column;
+    null and NaN don't count, and a column without values has an array of nulls.
+    """
+    entries = F.array(*[F.struct(F.lit(v).alias("__c"), F.col(v).cast("double").alias("__v")) for v in values])
+    counts = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy("__c", "__v").agg(F.count("*").alias("__n"))
+    counts = running_total(counts, "__v", "__n", "__upto", ["__c"])
+    wanted = counts.groupBy("__c").agg(F.sum("__n").alias("__all")).select("__c", F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("__i", "__s"), "__all").withColumn("__at", F.col("__s") * (F.col("__all") - 1))
+    # The values at the places below and above each quantile; one row for each column and share.
+    hit = counts.join(F.broadcast(wanted), "__c").where((F.ceil("__at") >= F.col("__upto") - F.col("__n")) & (F.floor("__at") < F.col("__upto")))
+    low = F.max(F.when(F.floor("__at") >= F.col("__upto") - F.col("__n"), F.col("__v")))
+    high = F.max(F.when(F.ceil("__at") < F.col("__upto"), F.col("__v")))
+    found = hit.groupBy("__c", "__i", "__at").agg(low.alias("__lo"), high.alias("__hi"))
+    found = found.withColumn("__q", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__at") - F.floor("__at")))
+    return found.agg(*[F.array(*[F.max(F.when((F.col("__c") == v) & (F.col("__i") == i), F.col("__q"))) for i in range(len(shares))]).alias(v) for v in values])
+
+
+def _beside(df: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """``df`` with the one row of ``quantiles`` as columns __name."""
+    return df.join(F.broadcast(quantiles.select(*[F.col(c).alias(f"__{c}") for c in quantiles.columns])))
+
+
 def rank_quartile(pct: Column) -> Column:
     """Quartile class of a rank percentage: (0, 25], (25, 50], (50, 75], (75, 100]."""
     return F.when(pct <= 25, "Q1").when(pct <= 50, "Q2").when(pct <= 75, "Q3").when(pct <= 100, "Q4")
@@ -67,8 +91,8 @@ def rank_quartile(pct: Column) -> Column:
 
 def robust_z(df: DataFrame, value: str, out: str) -> DataFrame:
     """``df`` with ``out``: 0.67448975 (x - median) / MAD, by the sample deviation if MAD is 0, 0 if both are 0."""
-    centre = df.agg(F.median(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-    spread = df.join(F.broadcast(centre)).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__mad"))
+    centre = exact_quantiles(df, [value], (0.5,)).select(F.col(value)[0].alias("__m")).join(F.broadcast(df.agg(F.stddev_samp(value).alias("__s"))))
+    spread = exact_quantiles(df.join(F.broadcast(centre)).select(F.abs(F.col(value) - F.col("__m")).alias("d")), ["d"], (0.5,)).select(F.col("d")[0].alias("__mad"))
     # Both sides are one row.
     at = df.join(F.broadcast(centre)).join(F.broadcast(spread))
     z = F.when(F.col("__mad") > 0, 0.67448975 * (F.col(value) - F.col("__m")) / F.col("__mad")).when(F.col("__s") > 0, (F.col(value) - F.col("__m")) / F.col("__s")).otherwise(0.0)
@@ -77,8 +101,7 @@ def robust_z(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def winsorize(df: DataFrame, values: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``values`` held within their exact quantiles; one aggregation, joined back as one row."""
-    q = df.agg(*[F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"__{v}") for v in values])
-    at = df.join(F.broadcast(q))
+    at = _beside(df, exact_quantiles(df, values, (low, high)))
     bounded = {v: F.when(F.col(v).isNotNull(), F.greatest(F.least(F.col(v), F.col(f"__{v}")[1]), F.col(f"__{v}")[0])) for v in values}
     return at.withColumns(bounded).select(*df.columns)
 
@@ -90,15 +113,13 @@ def log_scale(df: DataFrame, values: Sequence[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Nulls replaced by the exact median; 0 for an all-null column."""
-    q = df.agg(*[F.median(v).alias(f"__{v}") for v in values])
-    at = df.join(F.broadcast(q))
-    return at.withColumns({v: F.coalesce(v, f"__{v}", F.lit(0.0)) for v in values}).select(*df.columns)
+    at = _beside(df, exact_quantiles(df, values, (0.5,)))
+    return at.withColumns({v: F.coalesce(v, F.col(f"__{v}")[0], F.lit(0.0)) for v in values}).select(*df.columns)
 
 
 def robust_scale(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """(x - median) / interquartile range, by exact quantiles; a range of 0 counts as 1."""
-    q = df.agg(*[F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{v}") for v in values])
-    at = df.join(F.broadcast(q))
+    at = _beside(df, exact_quantiles(df, values, (0.25, 0.5, 0.75)))
     scaled = {v: (F.col(v) - F.col(f"__{v}")[1]) / F.coalesce(F.nullif(F.col(f"__{v}")[2] - F.col(f"__{v}")[0], F.lit(0.0)), F.lit(1.0)) for v in values}
     return at.withColumns(scaled).select(*df.columns)
 
@@ -122,6 +143,17 @@ def numbered_names(df: DataFrame, name: str, order: str, out: str) -> DataFrame:
     return df.withColumn("__n", n).withColumn(out, F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("__n").cast("string")))).drop("__n")
 
 
+def surrogate_ids(df: DataFrame, order: str, out: str, prefix: str = "", digits: int = 0) -> DataFrame:
+    """``df`` with ``out``: 1..n in the order of the unique, not null column ``order``, as text after a prefix if given.
+
+    Places come from counts by range buckets, so no task numbers the whole table.
+    """
+    placed = running_total(df.select(order).withColumn("__n", F.lit(1)), order, "__n", "__place")
+    place = F.col("__place")
+    named = F.concat(F.lit(prefix), F.lpad(place.cast("string"), F.greatest(F.lit(digits), F.length(place.cast("string"))), F.lit("0"))) if prefix or digits else place
+    return df.join(placed.select(order, named.alias(out)), order)
+
+
 def top_per_key(df: DataFrame, key: Sequence[str], score: str, tie: Column, k: int) -> DataFrame:
     """The ``k`` best rows of each key with rank and gap to the next score (0 counts as the score after the last).
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stage
+from .ranking import exact_quantiles
+
 
 def mosaic(tiles: DataFrame) -> DataFrame:
     """(row, col, v) of overlapping tiles (rank, row, col, v): the first tile with a value wins."""
@@ -51,14 +54,27 @@ def hillshade(dz_dx: Column, dz_dy: Column, azimuth: float = 315.0, altitude: fl
     return F.when(shade.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(255.0), shade)))
 
 
-def fill_gaps(pixels: DataFrame, places: DataFrame, reach: int = 3) -> DataFrame:
-    """(row, col, v) of all ``places``: missing values as the mean of known ones up to ``reach`` away, by inverse distance."""
-    known = places.join(pixels, ["row", "col"], "left_semi").join(pixels, ["row", "col"])
-    holes = places.join(pixels, ["row", "col"], "left_anti")
-    offsets = F.array(*[F.struct((F.col("row") + i).alias("r"), (F.col("col") + j).alias("c"), F.lit(1.0 / (i * i + j * j)).alias("w")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i or j])
-    near = holes.select("row", "col", F.explode(offsets).alias("o")).join(pixels.select(F.col("row").alias("pr"), F.col("col").alias("pc"), "v"), (F.col("o.r") == F.col("pr")) & (F.col("o.c") == F.col("pc")))
-    filled = near.groupBy("row", "col").agg((F.sum(F.col("v") * F.col("o.w")) / F.sum("o.w")).alias("v"))
-    return known.select("row", "col", "v").unionByName(filled)
+def fill_gaps(pixels: DataFrame, places: DataFrame, reach: int = 100) -> DataFrame:
+    """(row, col, v) of all ``places``: missing values as the mean of known ones near them, by inverse squared distance.
+
+    Rings widen (3, 9, 27 .. up to ``reach`` pixels) and only holes without a known pixel so far go on to the next, so
+    each hole is filled from the first ring that has one. Places with nothing known within ``reach`` keep null.
+    """
+    known = pixels.where("v is not null").select("row", "col", "v")
+    done = places.select("row", "col").join(known, ["row", "col"]).select("row", "col", "v")
+    holes = stage(places.select("row", "col").join(known, ["row", "col"], "left_anti"))
+    ring = 0
+    while ring < reach and holes.limit(1).count():
+        ring = min(reach, max(3, ring * 3))
+        cell = F.lit(ring)
+        # Known pixels go to the cells of the ring's width around them, holes to their own: one equi-join at every width.
+        near = known.select(F.col("row").alias("pr"), F.col("col").alias("pc"), "v", F.explode(F.array(*[F.struct((F.floor(F.col("row") / cell) + i).alias("cr"), (F.floor(F.col("col") / cell) + j).alias("cc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("k")).select("pr", "pc", "v", "k.*")
+        at = holes.withColumn("cr", F.floor(F.col("row") / cell)).withColumn("cc", F.floor(F.col("col") / cell))
+        weight = 1.0 / (F.pow(F.col("row") - F.col("pr"), 2) + F.pow(F.col("col") - F.col("pc"), 2))
+        pairs = at.join(near, ["cr", "cc"]).where((F.abs(F.col("row") - F.col("pr")) <= ring) & (F.abs(F.col("col") - F.col("pc")) <= ring)).withColumn("w", weight)
+        filled = stage(pairs.groupBy("row", "col").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")))
+        done, holes = done.unionByName(filled), stage(holes.join(filled, ["row", "col"], "left_anti"))
+    return done.unionByName(holes.withColumn("v", F.lit(None).cast("double")))
 
 
 def overview(pixels: DataFrame, factor: int) -> DataFrame:
@@ -75,5 +91,7 @@ def zonal_stats(pixels: DataFrame, zones: DataFrame, zone: str = "zone") -> Data
 
 
 def raster_stats(pixels: DataFrame) -> DataFrame:
-    """One row: n, min, mean, median, p90, max."""
-    return pixels.agg(F.count("v").alias("n"), F.min("v").alias("minimo"), F.avg("v").alias("media"), F.percentile("v", F.lit(0.5)).alias("mediana"), F.percentile("v", F.lit(0.9)).alias("p90"), F.max("v").alias("massimo"))
+    """One row: n, min, mean, median, p90, max; the quantiles by range buckets."""
+    one = pixels.agg(F.count("v").alias("n"), F.min("v").alias("minimo"), F.avg("v").alias("media"), F.max("v").alias("massimo"))
+    q = exact_quantiles(pixels, ["v"], (0.5, 0.9))
+    return one.crossJoin(F.broadcast(q)).select("n", "minimo", "media", F.col("v")[0].alias("mediana"), F.col("v")[1].alias("p90"), "massimo")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import weekday
+from ..functions.expressions import route_name, weekday
+from ..functions.geometry import distance_to, within
 from ..runtime import stage
 from .components import connected_components
 from .nearby import within_distance
@@ -23,9 +24,10 @@ def active_services(calendar: DataFrame, exceptions: DataFrame, dates: DataFrame
     The calendar (service_id, start_date, end_date, monday ... sunday) counts within its closed span on its weekdays;
     exceptions (service_id, date, exception_type) of type 1 add and then of type 2 take away.
     """
-    day = weekday(F.to_date("date", "yyyyMMdd"))
-    runs = F.coalesce(*[F.when(day == d, F.col(d)) for d in WEEKDAYS]).cast("string") == "1"
-    regular = calendar.join(F.broadcast(dates.select("date").distinct()), (F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date"))).where(runs).select("date", "service_id")
+    # Services meet dates by weekday, so neither side has to be small.
+    days = dates.select("date").distinct().withColumn("day", weekday(F.to_date("date", "yyyyMMdd")))
+    runs = F.explode(F.filter(F.array(*[F.when(F.col(d).cast("string") == "1", d) for d in WEEKDAYS]), lambda d: d.isNotNull()))
+    regular = calendar.select("service_id", "start_date", "end_date", runs.alias("day")).join(days, "day").where((F.col("date") >= F.col("start_date")) & (F.col("date") <= F.col("end_date"))).select("date", "service_id")
     on = exceptions.join(dates.select("date").distinct(), "date", "left_semi")
     kind = lambda k: on.where(F.col("exception_type").cast("string") == k).select("date", "service_id")
     return regular.unionByName(kind("1")).distinct().join(kind("2"), ["date", "service_id"], "left_anti")
@@ -151,3 +153,98 @@ def stops_within(stops: DataFrame, places: DataFrame, metres: float) -> DataFram
     """Stops (id, lat, lon) within ``metres`` of places (id, lat, lon): (stop, place, metri)."""
     near = within_distance(stops, places, metres)
     return near.select(F.col("left_id").alias("stop"), F.col("right_id").alias("place"), "metri")
+
+
+def routed_stop_times(stop_times: DataFrame, trips: DataFrame, columns: Sequence[str] = ("route_id",)) -> DataFrame:
+    """Stop times with ``columns`` of their trip; times of unknown trips are left out."""
+    return stop_times.join(trips.select("trip_id", *columns), "trip_id")
+
+
+def route_shapes(trips: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(route_id, shape_id, line): the distinct shapes of each route, points in order of shape_pt_sequence.
+
+    Lines are built once per shape and joined to the distinct (route, shape) pairs of the trips, so a shape that very
+    many trips run isn't built again.
+    """
+    lines = shapes.groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct(F.col("shape_pt_sequence").cast("int").alias("seq"), "x", "y"))).alias("p"))
+    lines = lines.where(F.size("p") >= 2).select("shape_id", F.transform("p", lambda p: F.struct(p["x"], p["y"])).alias("line"))
+    return trips.select("route_id", "shape_id").where(F.col("shape_id").isNotNull()).distinct().join(lines, "shape_id").select("route_id", "shape_id", "line")
+
+
+def counts_with_stops(counts: DataFrame, stops: DataFrame) -> DataFrame:
+    """Counts (stop_id, ..) with the attributes of their stop, null where the stop is unknown."""
+    return counts.join(stops.dropDuplicates(["stop_id"]), "stop_id", "left")
+
+
+def joined_by_position(sections: DataFrame, *others: DataFrame, position: str = "section_index") -> DataFrame:
+    """Sections with the columns of tables that belong to them by position; sections without a row keep nulls."""
+    for o in others:
+        sections = sections.join(o, position, "left")
+    return sections
+
+
+def chosen_routes(routes: DataFrame, wanted: Sequence[str], name: str = "route_short_name") -> DataFrame:
+    """Routes whose normalised short name is among ``wanted``; raises with the names there are if none is."""
+    of = route_name(F.col(name).cast("string"))
+    names = [w.strip().upper().removesuffix(".0") for w in wanted]
+    found = routes.where(of.isin(names))
+    if not found.limit(1).count():
+        there = [r[0] for r in routes.select(of.alias("n")).where("n is not null").distinct().orderBy("n").limit(100).collect()]
+        raise ValueError(f"none of {names}; there are {there}")
+    return found
+
+
+def relevant_lines(lines: DataFrame) -> DataFrame:
+    """Lines that cross the boundary or have a stop inside it; null flags count as false."""
+    return lines.where(F.coalesce("crosses", F.lit(False)) | F.coalesce("inner_stop", F.lit(False)))
+
+
+def relevant_stops(stops: DataFrame, ring: Column, metres: float) -> DataFrame:
+    """Stops (.., x, y) inside the boundary or within ``metres`` outside it, with ``interna``."""
+    marked = stops.withColumn("interna", within(ring, F.col("x"), F.col("y"))).withColumn("__far", distance_to(ring, F.col("x"), F.col("y")))
+    return marked.where(F.col("interna") | (F.col("__far") <= metres)).drop("__far")
+
+
+def cluster_headways(members: DataFrame, feeds: Sequence[str] = ("urbano", "extraurbano")) -> DataFrame:
+    """Per cluster of stops (cluster, feed, frequenza) the least headway by feed, null without one."""
+    return members.groupBy("cluster").agg(*[F.min(F.when(F.col("feed") == f, F.col("frequenza"))).alias(f"frequenza_{f}") for f in feeds])
+
+
+def dissolve_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, segmenti, metri): the union of the lines (array of points) of each key combination as its distinct segments.
+
+    Every line is cut into its segments, turned one way, and segments are made distinct before they are gathered, so a
+    street that very many lines follow counts once.
+    """
+    a, b = F.slice("line", F.lit(1), F.greatest(F.size("line") - 1, F.lit(0))), F.slice("line", F.lit(2), F.greatest(F.size("line") - 1, F.lit(0)))
+    pieces = lines.select(*keys, F.explode(F.zip_with(a, b, lambda p, q: F.array_sort(F.array(p, q)))).alias("s")).distinct()
+    pieces = pieces.withColumn("m", F.hypot(F.col("s")[1]["x"] - F.col("s")[0]["x"], F.col("s")[1]["y"] - F.col("s")[0]["y"]))
+    return pieces.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("segmenti"), F.sum("m").alias("metri"))
+
+
+def with_route_info(dissolved: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Dissolved lines with the route facts of their keys; each combination of facts once."""
+    return dissolved.join(info.distinct(), list(keys), "left")
+
+
+def end_stops(sections: DataFrame, stops: DataFrame, ends: Sequence[str] = ("origine", "destinazione")) -> DataFrame:
+    """Sections with name, minutes and service of the stop cluster at each end; '', null and false where there is none."""
+    for e in ends:
+        at = stops.select(F.col("cluster").alias(f"cluster_{e}"), F.col("stop_name").alias(f"nome_{e}"), F.col("frequenza").alias(f"frequenza_{e}"), F.col("urbana").alias(f"urbana_{e}"))
+        sections = sections.join(at, f"cluster_{e}", "left").withColumn(f"nome_{e}", F.coalesce(f"nome_{e}", F.lit(""))).withColumn(f"urbana_{e}", F.coalesce(f"urbana_{e}", F.lit(False)))
+    return sections
+
+
+def internal_lines(sections: DataFrame, lines: DataFrame, feeds: Sequence[str] = ("urbano", "extraurbano")) -> DataFrame:
+    """Sections with one sorted distinct list of the internal lines (feed, line, inner_stop) of each feed, the same on all.
+
+    The lists are one row; line names number as many as a timetable has.
+    """
+    inner = lines.where(F.coalesce("inner_stop", F.lit(False)) & (F.trim("line") != ""))
+    lists = inner.agg(*[F.array_join(F.array_sort(F.collect_set(F.when(F.col("feed") == f, F.trim("line")))), " | ").alias(f"linee_interne_{f}") for f in feeds])
+    return sections.crossJoin(F.broadcast(lists))
+
+
+def density_of_union(sections: DataFrame) -> DataFrame:
+    """(gruppo, abitanti, area_m2, densita): people per hectare over the whole area of the sections (gruppo, pop, area_m2)."""
+    return sections.groupBy("gruppo").agg(F.sum("pop").alias("abitanti"), F.sum("area_m2").alias("area_m2")).withColumn("densita", F.try_divide(F.col("abitanti"), F.col("area_m2") / 10_000))

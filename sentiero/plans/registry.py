@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_queries, data_queries
+from . import core_queries, data_queries, io_queries, territory_queries  # noqa: F401
 
+#: ``io_queries`` and ``territory_queries`` register their queries with those of ``core_queries``.
 MODULES = (core_queries, data_queries)
 
 

@@ -23,9 +23,14 @@ from ..functions.expressions import first_number, first_text
 def gtfs_table(spark: SparkSession, archives: str, member: str, columns: Sequence[str], required: bool = True) -> DataFrame:
     """Rows of one member of timetable archives, all columns as text, "" for missing ones, with the archive as ``feed``.
 
-    Archives are read where the tasks run, one per row of ``binaryFile``; a missing member raises if required, else it
-    gives no rows. Byte-order marks are taken off.
+    Archives are read where the tasks run, one per row of ``binaryFile``.
     """
+    return gtfs_rows(spark.read.format("binaryFile").load(archives), member, columns, required)
+
+
+def gtfs_rows(files: DataFrame, member: str, columns: Sequence[str], required: bool = True) -> DataFrame:
+    """``gtfs_table`` of archives given as ``files`` (path, content); a missing member raises if required, else it gives
+    no rows. Byte-order marks are taken off."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -42,7 +47,7 @@ def gtfs_table(spark: SparkSession, archives: str, member: str, columns: Sequenc
                             yield pd.DataFrame({c: part[c] if c in part else "" for c in columns} | {"feed": path}, columns=[*columns, "feed"], index=part.index)
 
     schema = StructType([StructField(c, StringType()) for c in (*columns, "feed")])
-    return spark.read.format("binaryFile").load(archives).select("path", "content").mapInPandas(rows, schema)
+    return files.select("path", "content").mapInPandas(rows, schema)
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +56,53 @@ def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.posexplode("d.features").alias("ord", "f")).select("ord", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(geometry_type, coordinates, properties) of files with one GeoJSON feature a line."""
+    f = spark.read.text(path).select(F.from_json("value", "geometry struct<type:string,coordinates:string>, properties map<string,string>").alias("f"))
+    return f.select(F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
+
+
+def enriched_features(features: DataFrame, more: DataFrame) -> DataFrame:
+    """``features`` (ord, .., properties) with the properties of the row of ``more`` (ord, ..) at the same place added.
+
+    New values win over old ones of the same name; features without a row keep theirs.
+    """
+    named = F.map_from_arrays(F.array(*[F.lit(c) for c in more.columns if c != "ord"]), F.array(*[F.col(c).cast("string") for c in more.columns if c != "ord"]))
+    new = F.col("__new")
+    joined = features.join(more.select("ord", named.alias("__new")), "ord", "left")
+    kept = F.map_filter("properties", lambda k, _: ~F.array_contains(F.map_keys(new), k))
+    return joined.withColumn("properties", F.when(new.isNull(), F.col("properties")).otherwise(F.map_concat(kept, new))).drop("__new")
+
+
+def excel_rows(files: DataFrame, sheet: int = 1) -> DataFrame:
+    """(row, cells): rows of a sheet of Excel workbooks (``files`` with content), cells as texts by column letter.
+
+    Shared and inline texts, numbers and truth values are read as stored; empty cells are missing. Workbooks are read where
+    the tasks run.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    texts: list[str] = []
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        texts = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
+                    out = []
+                    for i, row in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{ns}row"), 1):
+                        cells = {}
+                        for c in row.iter(f"{ns}c"):
+                            v = c.find(f"{ns}v")
+                            text = "".join(t.text or "" for t in c.iter(f"{ns}t")) if c.get("t") == "inlineStr" else None if v is None else texts[int(v.text)] if c.get("t") == "s" else v.text
+                            if text is not None:
+                                cells["".join(x for x in c.get("r", "") if x.isalpha())] = text
+                        out.append((int(row.get("r") or i), cells))
+                yield pd.DataFrame(out, columns=["row", "cells"])
+
+    return files.select("content").mapInPandas(read, "row int, cells map<string,string>")
+
+
 def rings_of(kind: Column, coordinates: Column) -> Column:
     """Outer and inner rings, array<array<struct<x,y>>>, of polygon and multipolygon coordinates given as JSON."""
     polygon = F.from_json(coordinates, "array<array<array<double>>>")
@@ -81,6 +133,11 @@ def sniffed_csv(spark: SparkSession, path: str, schema: StructType | None = None
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, x, y) and edges (src, dst, key, travel_time, walk_time_s, length) of GraphML files, numbers repaired."""
+    return graphml_parts(spark.read.format("binaryFile").load(path))
+
+
+def graphml_parts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``graphml`` of documents given as ``files`` (content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,7 +152,7 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                         out.append((tag, el.get("id") or str(i), el.get("source"), el.get("target"), *[data.get(k) for k in ("x", "y", "travel_time", "walk_time_s", "length")]))
                 yield pd.DataFrame(out, columns=["tag", "id", "src", "dst", "x", "y", "travel_time", "walk_time_s", "length"])
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "tag string, id string, src string, dst string, x string, y string, travel_time string, walk_time_s string, length string")
+    raw = files.select("content").mapInPandas(parse, "tag string, id string, src string, dst string, x string, y string, travel_time string, walk_time_s string, length string")
     number = lambda c: F.col(c).try_cast("double").alias(c)
     nodes = raw.where("tag = 'node'").select("id", number("x"), number("y"))
     edges = raw.where("tag = 'edge'").select("src", "dst", F.col("id").alias("key"), number("travel_time"), number("walk_time_s"), number("length"))
