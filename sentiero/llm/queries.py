@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import stage, table
 from .addresses import address_ids, same_address_pairs
 from .entity_match import match_entities
 
@@ -121,6 +121,42 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_report(truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must hold, by kind: the notebooks packed, containers over their capacity, wrong rests of containers,
+    and notebooks that fit whole but were split."""
+    containers = table(spark, sf_dir, "containers")
+    packed = stage(pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), containers))
+    filled = packed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("used"), F.max("unused").alias("unused"), F.min("unused").alias("least")).join(containers, "container_kind")
+    bad = filled.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"), F.count_if((F.col("used") + F.col("unused") != F.col("capacity_tokens")) | (F.col("unused") != F.col("least"))).alias("wrong_rest"))
+    documents = packed.groupBy("container_kind", "id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces")).join(containers, "container_kind")
+    whole = documents.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if((F.col("tokens") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)).alias("split"))
+    return whole.join(bad, "container_kind")
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix must hold, by source: tokens within one longest document of the target and no repeat beyond the permitted."""
+    targets = table(spark, sf_dir, "mix_targets")
+    mixed = stage(mix(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), targets))
+    whole = mixed.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("longest"))
+    report = mix_report(mixed, targets).join(targets.select("source", "max_repeats"), "source").crossJoin(F.broadcast(whole))
+    return report.select("source", (F.abs(F.col("tokens") - F.col("target_weight") * F.col("total")) <= F.col("longest")).alias("on_target"), (F.col("repeats") <= F.col("max_repeats")).alias("permitted"))
+
+
+def p9_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source the notebooks at a spike of the length histogram, and those of them without terminal punctuation."""
+    return truncation_report(truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("source", "texts", "at_limit", "unterminated")
+
+
+_P9_SQL = """
+WITH d AS (SELECT coalesce(source, '') AS source, length(text) AS chars, strlen(text) AS bytes, right(text, 1) AS last FROM documents WHERE text IS NOT NULL),
+u AS (SELECT source, 'chars' AS unit, chars AS len, 0 AS slack FROM d UNION ALL SELECT source, 'bytes', bytes, 3 FROM d),
+t AS (SELECT *, max(len) OVER (PARTITION BY source, unit) AS top FROM u),
+s AS (SELECT source, unit, top, slack, count(*) FILTER (len >= top - slack) AS spike, count(*) FILTER (len < top - slack AND len >= 0.8 * top) AS below FROM t GROUP BY ALL),
+k AS (SELECT source, max(top) FILTER (unit = 'chars') AS top_chars, max(top) FILTER (unit = 'bytes') AS top_bytes FROM s WHERE spike >= 5 AND spike >= 8 * (below * (slack + 1) / (0.2 * top)) GROUP BY source),
+a AS (SELECT d.source, last, coalesce(chars = top_chars, false) OR coalesce(bytes BETWEEN top_bytes - 3 AND top_bytes, false) AS at_top FROM d LEFT JOIN k USING (source))
+SELECT source, count(*) AS texts, count(*) FILTER (at_top) AS at_limit, count(*) FILTER (at_top AND last NOT IN ('.', '!', '?', '。', '！', '？', ';')) AS unterminated FROM a GROUP BY source"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -133,12 +169,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_classes": p5_classes,
         "p7_containers": p7_containers,
         "p7_report": p7_report,
+        "p7_documents": p7_documents,
         "p8_mix": p8_mix,
         "p8_shares": p8_shares,
+        "p8_limits": p8_limits,
         "p9_found": p9_found,
         "p9_report": p9_report,
+        "p9_limits": p9_limits,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p7_documents": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS split, 0 AS overfull, 0 AS wrong_rest FROM containers",
+        "p8_limits": "SELECT source, true AS on_target, true AS permitted FROM mix_targets",
+        "p9_limits": _P9_SQL,
+    }

@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 _APOSTROPHES = str.maketrans({"’": "'", "‘": "'", "`": "'", "´": "'", "º": "°", "–": "-", "—": "-", " ": " ", "“": '"', "”": '"'})
 _KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
@@ -121,25 +123,21 @@ def _letters(word: str) -> int:
 class NearIndex:
     """Finds the words of a fixed list that a token may stand for, within a few typing errors.
 
-    Of a short list, words of a similar length whose letters differ by no more than the errors allow are compared; a long
-    one is looked up by the letters both keep after deletions. Both ways find the same words.
+    Words of a similar length whose letters differ by no more than the errors allow are compared; of a long list the
+    letters are compared all at once, so that it takes a few bytes a word.
     """
 
-    #: Words up to which letters are compared one by one.
+    #: Words up to which letters are compared one by one, which is faster for few.
     SHORT_LIST = 400
 
     def __init__(self, words, depth: int = 2) -> None:
         self.depth, listed = depth, list(dict.fromkeys(words))
-        self.words: dict[str, list[str]] | None = None if len(listed) <= self.SHORT_LIST else {}
         self.heads: dict[str, list[str]] = {}
         self.sizes: dict[int, list[tuple[int, str]]] = {}
         for w in listed:
-            if self.words is None:
-                self.sizes.setdefault(len(w), []).append((_letters(w), w))
-            else:
-                for v in deletions(w, depth):
-                    self.words.setdefault(v, []).append(w)
+            self.sizes.setdefault(len(w), []).append((_letters(w), w))
             self.heads.setdefault(w[:2], []).append(w)
+        self.masks = {n: np.array([m for m, _ in ws], np.uint64) for n, ws in self.sizes.items()} if len(listed) > self.SHORT_LIST else None
         self.longest = max(map(len, listed), default=0)
 
     def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
@@ -147,12 +145,14 @@ class NearIndex:
         limit, n = min(limit, self.depth), len(token)
         if n > self.longest + limit:
             return []
-        if self.words is None:
-            mask, sizes = _letters(token), self.sizes
-            near = [w for k in range(n - limit, n + limit + 1) if k in sizes for m, w in sizes[k] if (m ^ mask).bit_count() <= 2 * limit]
-        else:
-            words = self.words
-            near = {w for v in deletions(token, self.depth) if v in words for w in words[v]}
+        mask, sizes, near = _letters(token), self.sizes, []
+        for k in range(n - limit, n + limit + 1):
+            if k not in sizes:
+                continue
+            if self.masks is None:
+                near += [w for m, w in sizes[k] if (m ^ mask).bit_count() <= 2 * limit]
+            else:
+                near += [sizes[k][i][1] for i in np.nonzero(np.bitwise_count(self.masks[k] ^ np.uint64(mask)) <= 2 * limit)[0]]
         return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
 
     def likely(self, token: str, least: float) -> str:

@@ -62,6 +62,16 @@ def _mistyped(rnd, word, errors):
     return word
 
 
+def test_long_and_short_lists_find_the_same():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdeilnorst") for _ in range(rnd.randint(4, 9))) for _ in range(900)]
+    long, short = NearIndex(words), [NearIndex(words[:300]), NearIndex(words[300:600]), NearIndex(words[600:])]
+    for w in words[::9]:
+        v = _mistyped(rnd, w, 1)
+        want = sorted({x for i in short for x in i.find(v)})
+        assert long.find(v) == want == sorted({(typo_distance(v, x), x) for x in set(words) if typo_distance(v, x) <= 2})
+
+
 def test_codes_miss_no_near_word():
     """Words of any length within the error limit share a blocking code."""
     rnd = random.Random(5)

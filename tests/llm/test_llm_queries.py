@@ -1,4 +1,5 @@
 import pytest
+from oracle import check
 
 from sentiero.llm import queries as Q
 
@@ -21,3 +22,19 @@ def test_query(spark, sf_dir, name):
         assert len(set(got)) == len(got)
         if len(df.columns) == 2 and name != "p1_found":
             assert all(r[0] < r[1] for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_matches_sql(spark, sf_dir, name):
+    check(spark, sf_dir, Q.queries()[name], Q.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("query", ["p3", "p5"])
+def test_classes_and_pairs_say_the_same(spark, sf_dir, query):
+    """The pairs of a query are the pairs of its classes."""
+    by = {}
+    for r in Q.queries()[f"{query}_classes"](spark, sf_dir).collect():
+        if r[1] is not None:
+            by.setdefault(r[1], []).append(r[0])
+    want = {(a, b) for c in by.values() for a in c for b in c if a < b}
+    assert {tuple(r) for r in Q.queries()[f"{query}_found"](spark, sf_dir).collect()} == want
