@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.kdtree import Splits, chord, haversine_m, pairs_within, unit_vectors
 from ..runtime import stage, width
 
-#: Rows of the sample that only places the split planes; every row takes part in the search.
-SAMPLE_ROWS = 20_000
+#: Rows of the sample that only places the split planes, a few for each leaf; every row takes part in the search.
+SAMPLE_ROWS, SAMPLE_OF_LEAF, SAMPLE_MOST = 20_000, 8, 2_000_000
 #: Points of both sides that one leaf of the split holds about.
 LEAF_POINTS = 20_000
 
 
 def _splits(points: DataFrame, rows: int, leaf_points: int) -> Splits:
     """Planes from a bounded sample of (lat, lon); they balance the work and don't touch the result."""
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    sample = points.sample(share, seed=7).limit(2 * SAMPLE_ROWS) if share < 1 else points
+    wanted = min(SAMPLE_MOST, max(SAMPLE_ROWS, SAMPLE_OF_LEAF * rows // leaf_points))
+    share = min(1.0, wanted / max(rows, 1))
+    sample = points.sample(share, seed=7).limit(2 * wanted) if share < 1 else points
     at = sample.toPandas()
     vectors = unit_vectors(at["lat"].to_numpy(float), at["lon"].to_numpy(float)) if len(at) else np.zeros((0, 3))
     leaves = max(points.sparkSession.sparkContext.defaultParallelism, rows / leaf_points)

@@ -194,3 +194,13 @@ def room_bookings(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_nationkey").cast("string")
     raw = rooms.select(F.to_json(F.struct(F.lit("2026").alias("periodo"), F.create_map(key, F.struct(key.alias("id"), F.concat(F.lit("Sala "), key).alias("nome"), "dati")).alias("sale"))).alias("value"))
     return readers.bookings(raw)
+
+
+@query("""SELECT c_custkey, c_custkey + 0.5 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey IS NOT NULL""")
+def valid_points(spark: SparkSession, d: str) -> DataFrame:
+    """Features that are points with a position: none that is missing, empty or of another kind."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 5 <= 1, "Point").when(k % 5 == 2, "Polygon").when(k % 5 == 3, "MultiPoint")
+    at = F.when(k % 5 == 0, F.concat(F.lit("["), (k + 0.5).cast("string"), F.lit(","), F.col("c_nationkey").cast("string"), F.lit("]"))).when(k % 5 == 1, "[]").when(k % 5 == 2, "[[[0,0],[1,0],[1,1]]]").when(k % 5 == 3, "[[1,2]]")
+    features = table(spark, d, "customer").select("c_custkey", kind.alias("geometry_type"), at.alias("coordinates"))
+    return readers.valid_points(features).select("c_custkey", "x", "y")

@@ -62,6 +62,13 @@ def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def valid_points(features: DataFrame) -> DataFrame:
+    """``features`` that are points with a position, with ``x`` and ``y``; missing, empty and other geometries are left out."""
+    at = F.from_json("coordinates", "array<double>")
+    placed = features.where("geometry_type = 'Point'").withColumns({"x": F.get(at, F.lit(0)), "y": F.get(at, F.lit(1))})
+    return placed.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
 def enriched_features(features: DataFrame, more: DataFrame) -> DataFrame:
     """``features`` (ord, .., properties) with the properties of the row of ``more`` (ord, ..) at the same place added.
 
