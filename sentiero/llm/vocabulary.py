@@ -70,12 +70,13 @@ def gazetteer(values: DataFrame) -> Gazetteer:
     places, and no more towns.
     """
     text = plain_letters("value")
-    after = r"\b(\d{5})\s+([\p{L}']{3,})"
-    found = values.select(F.regexp_extract("value", after, 1).alias("code"), F.regexp_extract(text, after, 2).alias("place")).where(F.col("code") != "")
+    # Each pattern is searched once, and only where a plain test lets it be there.
+    coded = values.where(F.col("value").rlike(r"\d{5}")).select(F.regexp_extract(text, r"\b\d{5}\s+[\p{L}']{3,}", 0).alias("m")).where("m <> ''")
+    found = coded.select(F.left("m", F.lit(5)).alias("code"), F.trim(F.regexp_replace(F.substring("m", 6, 10_000), r"\s+", " ")).alias("place"))
     best = found.groupBy("code", "place").count().groupBy("code").agg(F.max_by("place", F.struct("count", "place")).alias("place"))
     by_code = {r["code"]: r["place"] for r in best.collect()}
-    belongs = r"\b([\p{L}']{3,}) di ([\p{L}']{3,})"
-    said = values.select(F.regexp_extract(text, belongs, 1).alias("place"), F.regexp_extract(text, belongs, 2).alias("town")).where(F.col("place") != "").groupBy("place", "town").count()
+    belongs = values.select(text.alias("t")).where(F.contains("t", F.lit(" di "))).select(F.split(F.regexp_extract("t", r"\b[\p{L}']{3,} di [\p{L}']{3,}", 0), " di ").alias("m")).where(F.size("m") == 2)
+    said = belongs.select(F.col("m")[0].alias("place"), F.col("m")[1].alias("town")).groupBy("place", "town").count()
     places = found.select("place").distinct()
     towns = said.join(places, "place", "left_semi").groupBy("town").agg(F.count("*").alias("places")).where("places >= 2").orderBy(F.desc("places"), "town").limit(100_000)
     return Gazetteer(by_code, frozenset(r["town"] for r in towns.collect()) - set(by_code.values()))
