@@ -38,7 +38,8 @@ def common_words(values: DataFrame) -> Vocabulary:
     Collected to the driver: frequent words number at most the words of an average value divided by ``FREQUENT_SHARE``,
     whatever the number of rows; pairs are kept from a quarter of that frequency. No values give an empty vocabulary.
     """
-    text = F.regexp_replace(plain_letters("value"), r"\b(?:d|l|dell|all|nell|sull|dall|un)['’]", " ")
+    plain = plain_letters("value")
+    text = F.when(F.col("value").rlike("['’]"), F.regexp_replace(plain, r"\b(?:d|l|dell|all|nell|sull|dall|un)['’]", " ")).otherwise(plain)
     held = values.where(F.col("value").isNotNull()).select(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![a-z.])([a-z]{3,})(?![a-z.])"))).alias("held"))
     held = stage(held)  # read three times
     n = held.count()
@@ -46,8 +47,7 @@ def common_words(values: DataFrame) -> Vocabulary:
     frequent = sorted(r[0] for r in held.select(F.explode("held").alias("w")).groupBy("w").count().where(F.col("count") >= least).select("w").collect())
     if not frequent:
         return Vocabulary({}, {})
-    known = F.array(*[F.lit(w) for w in frequent])
-    own = held.select(F.array_intersect("held", known).alias("own"), F.exists(F.array_except("held", known), lambda w: F.length(w) >= RARE_LETTERS).alias("rare")).groupBy("own", "rare").agg(F.count("*").alias("n"))
+    own = held.select(F.filter("held", lambda w: w.isin(frequent)).alias("own"), F.exists("held", lambda w: (F.length(w) >= RARE_LETTERS) & ~w.isin(frequent)).alias("rare")).groupBy("own", "rare").agg(F.count("*").alias("n"))
     own = own.select("own", "rare", "n", F.explode("own").alias("w"))
     beside = {r["w"]: (r["all"], r["beside"]) for r in own.groupBy("w").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("rare"), F.col("n")).otherwise(0)).alias("beside")).collect()}
     words = {w: a for w, (a, b) in beside.items() if b >= BESIDE_RARE * a}
