@@ -6,7 +6,7 @@ import re
 from typing import NamedTuple
 
 from .nicknames import NICKNAMES
-from .textnorm import NearIndex, fold
+from .textnorm import NearIndex, fold, typo_distance
 from .vocabulary import Gazetteer
 
 # Written forms of street kinds, titles, number words and notes.
@@ -41,11 +41,15 @@ _NOTE_HINT = re.compile(r"ingr|c/o|press|lato|piano|intern|int|scala|citof")
 _BLANKS, _BREAKS, _STRAY = re.compile(r"\s+"), re.compile(r"\s*[\n\r]+\s*"), re.compile(r"(?<=[a-z])'(?![a-z])")
 _PROVINCE, _HAMLET = re.compile(r"\(\s*[a-z]{2}\s*\)"), re.compile(r"\b(?:fraz|frazione)\b\.? ?([a-z']+)")
 _PROVINCE_LAST = re.compile(r"(?<=[a-z]{3}) (?!vi$)[a-z]{2}$")
-_CAP = re.compile(r"\b(\d{5})\b\s*([a-z']{3,})?")
+_CAP = re.compile(r"\b(\d{5,7})\b\s*([a-z']{3,})?")
 _NUMBER = re.compile(r"(?<![\w°.])(?:(?:n|nr|num|civico|civ|numero)\b\.? ?°? ?|n° ?)?(\d{1,4})(?!\d|°)(?:\s*[/-]?\s*(bis|ter|quater|[a-hA-H](?![\w.'])))?(?![\w])")
 _TOKEN = re.compile(r"\d+|[a-z0-9']+\.?|[,\-()/;:]")
 
 
+#: Stands for a place that a misspelling leaves open.
+SEVERAL = "?"
+
+
 class Address(NamedTuple):
     kind: str
     word: str
@@ -82,7 +86,11 @@ class AddressReader:
         self.given = NearIndex(given, 1)
         self.near: dict[str, str] = {}
         self.named: dict[str, str] = {}
-        self.index = NearIndex(self.places | self.towns)
+        self.index, self.town_index = NearIndex(self.places | self.towns), NearIndex(self.towns)
+        self.sharing: dict[str, list[str]] = {}
+        for key, place in self.by_code.items():
+            if " " in key:
+                self.sharing.setdefault(key.partition(" ")[0], []).append(place)
 
     def given_name(self, token: str) -> str:
         """The given name a token is, or is one typing error from; "" for other tokens."""
@@ -91,16 +99,38 @@ class AddressReader:
             self.named[token] = found[0][1] if found else ""
         return self.named[token]
 
+    def coded_place(self, code: str, word: str) -> str:
+        """The place of a postal code; of a code that several share, the one the word after it names, "" for none."""
+        if code in self.by_code:
+            return self.by_code[code]
+        shared = self.sharing.get(code)
+        if not shared or word in shared:
+            return word
+        near = min(((d, p) for p in shared if (d := typo_distance(word, p)) <= 2), default=None)
+        named = near[1] if near else self.place(word, False)
+        return "" if named in self.towns else named
+
     def place(self, token: str, fuzzy: bool) -> str:
+        """The place or town a token is or, if ``fuzzy``, is nearest to; ``SEVERAL`` where several are as near."""
         if token in self.places or token in self.towns:
             return token
         if not fuzzy or len(token) < 6:
             return ""
         if token not in self.near:
             found = self.index.find(token)
-            self.near[token] = found[0][1] if found else ""
+            tied = len(found) > 1 and found[0][0] == found[1][0]
+            self.near[token] = SEVERAL if tied else found[0][1] if found else ""
         return self.near[token]
 
+    def near_place(self, token: str, known: str) -> str:
+        """``place`` of a token that may be misspelt; where the locality is known, only that one or a town."""
+        if not known or len(token) < 6:
+            return self.place(token, True)
+        if typo_distance(token, known) <= 2:
+            return known
+        found = self.town_index.find(token)
+        return found[0][1] if found else ""
+
     def read(self, text: str | None) -> Address | None:
         """The parts of an address, or None where it names no street."""
         if not text:
@@ -114,13 +144,14 @@ class AddressReader:
         locality = ""
         m = _CAP.search(s)
         if m:
-            locality = self.by_code.get(m[1], "") or (m[2] or "")
+            locality = self.coded_place(m[1], m[2] or "")
             tail = m[2] if m[2] and (self.place(m[2], True) or m[2] == locality) else ""
             s = (s[: m.start()] + " , " + s[m.end(1) + (len(m[0]) - len(m[1]) if tail else 0) :]).strip()
         s = _PROVINCE_LAST.sub("", _PROVINCE.sub(" ", s).strip(" ,-"))
         m = _HAMLET.search(s)
         if m:
-            locality = locality or self.place(m[1], True) or m[1]
+            named = self.place(m[1], True)
+            locality = locality or (m[1] if named == SEVERAL else named or m[1])
             s = s[: m.start()] + " , " + s[m.end() :]
         # Civic number: not one that belongs to the street's name (a number word before the street word).
         found = list(_NUMBER.finditer(s))
@@ -176,12 +207,14 @@ class AddressReader:
                 else:
                     words.append((i, bare))
         rest: list[tuple[int, str]] = []
+        known = locality or next((w for _, w in words if w in self.places), "")
         for i, w in words:
             alone = len(segments[i]) == 1 or i != kind_segment
-            p = self.place(w, False) or (self.place(w, True) if alone and len(words) > 1 else "")
+            p = self.place(w, False) or (self.near_place(w, known) if alone and len(words) > 1 else "")
             if p and len(words) - bool(self.given_name(w)) > 1 and not (i == kind_segment and not any(x for j, x in words if (j, x) != (i, w))):
-                if p not in self.towns:
+                if p not in self.towns and p != SEVERAL:
                     locality = locality or p
+                known = known or p
             else:
                 rest.append((i, w))
         if kind_segment >= 0 and any(i == kind_segment for i, _ in rest):

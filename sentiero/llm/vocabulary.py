@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stage
+from .textnorm import typo_distance
 
 #: A word is frequent if at least this share of the distinct values holds it, and at least so many of them.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 6
@@ -15,6 +16,8 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.0005, 6
 BESIDE_RARE = 0.5
 #: Letters of a rare word at least; shorter ones are mostly short forms.
 RARE_LETTERS = 5
+#: A further place of a postal code is written at least so often, and a misspelt one at most an eighth as often as its place.
+PLACE_LEAST, MISSPELT = 3, 8
 _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüçñ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucn"
 
@@ -56,7 +59,8 @@ def common_words(values: DataFrame) -> Vocabulary:
 
 
 class Gazetteer(NamedTuple):
-    """``by_code``: place of each postal code; ``towns``: municipalities that stand behind several places."""
+    """``by_code``: place of each postal code, and for a code that several places share each of them by "code place";
+    ``towns``: municipalities that stand behind several places."""
 
     by_code: dict[str, str]
     towns: frozenset[str]
@@ -65,18 +69,29 @@ class Gazetteer(NamedTuple):
 def gazetteer(values: DataFrame) -> Gazetteer:
     """Place names learnt from addresses ``values`` (value).
 
-    A postal code's place is the word most often written after it; a town is what at least two such places are said to
-    belong to ("place di town"). Collected to the driver: a postal code has five digits, so there are at most 100,000
-    places, and no more towns.
+    A postal code's place is the word most often written after it, and any other word written there three times or more
+    that isn't a misspelling of a commoner one; a town is what at least two such places are said to belong to ("place di
+    town"). Postal codes have five to seven digits. Collected to the driver: the places, which are as many as there are
+    localities, whatever the number of rows, and no more than 100,000 towns.
     """
     text = plain_letters("value")
     # Each pattern is searched once, and only where a plain test lets it be there.
-    coded = values.where(F.col("value").rlike(r"\d{5}")).select(F.regexp_extract(text, r"\b\d{5}\s+[\p{L}']{3,}", 0).alias("m")).where("m <> ''")
-    found = coded.select(F.left("m", F.lit(5)).alias("code"), F.trim(F.regexp_replace(F.substring("m", 6, 10_000), r"\s+", " ")).alias("place"))
-    best = found.groupBy("code", "place").count().groupBy("code").agg(F.max_by("place", F.struct("count", "place")).alias("place"))
-    by_code = {r["code"]: r["place"] for r in best.collect()}
+    coded = values.where(F.col("value").rlike(r"\d{5}")).select(F.regexp_extract(text, r"\b\d{5,7}\s+[\p{L}']{3,}", 0).alias("m")).where("m <> ''")
+    found = coded.select(F.regexp_extract("m", r"^\d+", 0).alias("code"), F.regexp_extract("m", r"[\p{L}']+$", 0).alias("place"))
+    counted = found.groupBy("code", "place").count().withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("count"), F.desc("place"))))
+    by_code: dict[str, str] = {}
+    listed: dict[str, list[tuple[int, str]]] = {}
+    for r in counted.where((F.col("r") == 1) | (F.col("count") >= PLACE_LEAST)).collect():
+        listed.setdefault(r["code"], []).append((r["count"], r["place"]))
     belongs = values.select(text.alias("t")).where(F.contains("t", F.lit(" di "))).select(F.split(F.regexp_extract("t", r"\b[\p{L}']{3,} di [\p{L}']{3,}", 0), " di ").alias("m")).where(F.size("m") == 2)
     said = belongs.select(F.col("m")[0].alias("place"), F.col("m")[1].alias("town")).groupBy("place", "town").count()
     places = found.select("place").distinct()
     towns = said.join(places, "place", "left_semi").groupBy("town").agg(F.count("*").alias("places")).where("places >= 2").orderBy(F.desc("places"), "town").limit(100_000)
-    return Gazetteer(by_code, frozenset(r["town"] for r in towns.collect()) - set(by_code.values()))
+    towns = frozenset(r["town"] for r in towns.collect()) - {max(options)[1] for options in listed.values()}
+    for code, options in listed.items():
+        kept: list[tuple[int, str]] = []
+        for n, place in sorted(options, reverse=True):
+            if not (kept and place in towns) and not any(m >= MISSPELT * n and typo_distance(place, p) <= 2 for m, p in kept):
+                kept.append((n, place))
+        by_code |= {code: kept[0][1]} if len(kept) == 1 else {f"{code} {place}": place for _, place in kept}
+    return Gazetteer(by_code, towns)

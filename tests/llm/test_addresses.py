@@ -125,3 +125,24 @@ def test_towns_are_learnt(spark):
 def test_long_and_tied_values(spark):
     df = spark.createDataFrame([("Via Boracomuze 5" + " " * 50_000,), ("Via Boracomuze 5",), ("Via Boracomuxe 5",)], "value string")
     assert same_address_pairs(df).select(F.count("*")).first()[0] == 3
+
+
+@pytest.mark.parametrize("codes", [("38100", "38100", "38100"), ("100012", "100013", "100014")])
+def test_shared_and_long_postal_codes(spark, codes):
+    """Places are known though several share a code, and codes may have more than five digits."""
+    places = ["Dugosudoza", "Mocagitevu", "Sitotulovi"]
+    rows = [f"Via Boracomuze {i}, {c} {p}" for c, p in zip(codes, places, strict=True) for i in range(1, 5)]
+    rows += [f"{p} - via Boracomuze, 2" for p in places] + [f"via Boracomuze 3 {codes[0]} Dugosudzoa"]
+    df = spark.createDataFrame([(v,) for v in rows], "value string")
+    assert set(gazetteer(df).by_code.values()) == {p.lower() for p in places}
+    got = {tuple(r) for r in same_address_pairs(df).collect()}
+    want = {tuple(sorted((f"Via Boracomuze 2, {c} {p}", f"{p} - via Boracomuze, 2"))) for c, p in zip(codes, places, strict=True)}
+    assert got == want | {tuple(sorted((f"Via Boracomuze 3, {codes[0]} Dugosudoza", rows[-1])))}
+
+
+def test_a_misspelt_place_among_many():
+    """A word near some place is no place where the locality is already named; a tie between places stays open."""
+    at = AddressReader(Gazetteer({"99000": "dugosudoza", "99001": "mocagitevu", "99002": "mocagiteva"}, frozenset()))
+    assert at.read("Dugosudoza, Mocagitevo 5")[1:5] == ("mocagitevo", "5", "", "dugosudoza")
+    assert at.read("Mocagitevuu - Via Boracomuze 5")[:5] == ("via", "boracomuze", "5", "", "mocagitevu")
+    assert at.read("Mocagitev - Via Boracomuze 5")[:5] == ("via", "boracomuze", "5", "", "")
