@@ -6,7 +6,7 @@ import re
 from typing import NamedTuple
 
 from .nicknames import NICKNAMES
-from .textnorm import NearIndex, fold, typo_distance
+from .textnorm import NearIndex, fold, shared_index, typo_distance
 from .vocabulary import Gazetteer
 
 # Written forms of street kinds, titles, number words and notes.
@@ -86,7 +86,7 @@ class AddressReader:
         self.given = NearIndex(given, 1)
         self.near: dict[str, str] = {}
         self.named: dict[str, str] = {}
-        self.index, self.town_index = NearIndex(self.places | self.towns), NearIndex(self.towns)
+        self.index, self.town_index = shared_index(self.places | self.towns), shared_index(self.towns)
         self.sharing: dict[str, list[str]] = {}
         for key, place in self.by_code.items():
             if " " in key:

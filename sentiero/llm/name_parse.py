@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from .nicknames import NICKNAMES
-from .textnorm import NearIndex, fold
+from .textnorm import NearIndex, fold, shared_index
 from .vocabulary import Vocabulary
 
 # Words for one thing that share no spelling; a parameter of the reader. Bodies of a place are named by it.
@@ -45,7 +45,7 @@ class NameReader:
 
     def __init__(self, vocabulary: Vocabulary | None = None, places: frozenset[str] = frozenset(), towns: Sequence[str] = (), nicknames: Mapping[str, tuple[str, ...]] = NICKNAMES, synonyms: Mapping[str, str] = SYNONYMS) -> None:
         self.places, self.towns = places, frozenset(towns)
-        self.index = NearIndex(self.places | self.towns)
+        self.index = shared_index(self.places | self.towns)
         self.synonyms = dict(synonyms)
         self.given_of: dict[str, tuple[str, ...]] = {}
         for full, shorts in nicknames.items():

@@ -120,26 +120,48 @@ def _letters(word: str) -> int:
     return mask
 
 
+def _shortened(word: str, depth: int) -> set[str]:
+    """The word and all strings made of it by taking away up to ``depth`` (at most two) letters."""
+    found = {word}
+    if depth >= 1:
+        found.update([word[:i] + word[i + 1 :] for i in range(len(word))])
+    if depth >= 2:
+        found.update([word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(len(word) - 1) for j in range(i + 1, len(word))])
+    return found
+
+
 class NearIndex:
     """Finds the words of a fixed list that a token may stand for, within a few typing errors.
 
-    Words of a similar length whose letters differ by no more than the errors allow are compared; of a long list the
-    letters are compared all at once, so that it takes a few bytes a word.
+    Of a short list and of short words those are compared whose length is similar and whose letters differ by no more than
+    the errors allow. Of a long list words are found by what is left when letters are taken away: each error is gone when
+    one letter is taken from either side. That takes about sixty numbers a word and no longer for a longer list.
     """
 
-    #: Words up to which letters are compared one by one, which is faster for few.
-    SHORT_LIST = 400
+    #: Words up to which letters are compared one by one, which is faster for few, and letters up to which they always are.
+    SHORT_LIST, SHORT_WORD = 400, 5
 
     def __init__(self, words, depth: int = 2) -> None:
         self.depth, listed = depth, list(dict.fromkeys(words))
         self.heads: dict[str, list[str]] = {}
         self.sizes: dict[int, list[tuple[int, str]]] = {}
+        self.long: list[str] = [w for w in listed if len(w) > self.SHORT_WORD] if len(listed) > self.SHORT_LIST else []
+        self.left: tuple[np.ndarray, np.ndarray] | None = None
         for w in listed:
-            self.sizes.setdefault(len(w), []).append((_letters(w), w))
+            if not self.long or len(w) <= self.SHORT_WORD:
+                self.sizes.setdefault(len(w), []).append((_letters(w), w))
             self.heads.setdefault(w[:2], []).append(w)
-        self.masks = {n: np.array([m for m, _ in ws], np.uint64) for n, ws in self.sizes.items()} if len(listed) > self.SHORT_LIST else None
         self.longest = max(map(len, listed), default=0)
 
+    def _left(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of what is left of the long list's words, in order, and the word of each."""
+        if self.left is None:
+            parts = [np.fromiter(map(hash, _shortened(w, self.depth)), np.int64) for w in self.long]
+            hashes, of = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+            order = np.argsort(hashes)
+            self.left = hashes[order], of[order]
+        return self.left
+
     def find(self, token: str, limit: int = 2) -> list[tuple[int, str]]:
         """(errors, word) of the words at most ``limit`` typing errors from ``token``, nearest first."""
         limit, n = min(limit, self.depth), len(token)
@@ -147,15 +169,22 @@ class NearIndex:
             return []
         mask, sizes, near = _letters(token), self.sizes, []
         for k in range(n - limit, n + limit + 1):
-            if k not in sizes:
-                continue
-            if self.masks is None:
+            if k in sizes:
                 near += [w for m, w in sizes[k] if (m ^ mask).bit_count() <= 2 * limit]
-            else:
-                near += [sizes[k][i][1] for i in np.nonzero(np.bitwise_count(self.masks[k] ^ np.uint64(mask)) <= 2 * limit)[0]]
+        if self.long and n + limit > self.SHORT_WORD:
+            hashes, of = self._left()
+            wanted = np.fromiter(map(hash, _shortened(token, limit)), np.int64)
+            ends = zip(np.searchsorted(hashes, wanted, "left").tolist(), np.searchsorted(hashes, wanted, "right").tolist(), strict=True)
+            near += [self.long[i] for i in {i for a, b in ends if a < b for i in of[a:b].tolist()}]
         return sorted((d, w) for w in near if (d := typo_distance(token, w, limit)) <= limit)
 
     def likely(self, token: str, least: float) -> str:
         """The most similar word with the same first two letters, by Jaro-Winkler; "" under ``least``."""
         best = max(((jaro_winkler(token, w), w) for w in self.heads.get(token[:2], ())), default=(0.0, ""))
         return best[1] if best[0] >= least else ""
+
+
+@lru_cache(maxsize=8)
+def shared_index(words: frozenset[str], depth: int = 2) -> NearIndex:
+    """The index of a list of words, built once in a process."""
+    return NearIndex(sorted(words), depth)

@@ -1,10 +1,12 @@
 import random
+import time
 
 import pytest
 
 from sentiero.llm.name_parse import NameReader
 from sentiero.llm.names import name_ids, same_name_pairs
-from sentiero.llm.vocabulary import Gazetteer, Vocabulary, common_words
+from sentiero.llm.textnorm import NearIndex
+from sentiero.llm.vocabulary import Gazetteer, Vocabulary, common_words, gazetteer
 
 PLACES = Gazetteer({"99000": "dugosudoza", "99002": "sitotulovi"}, frozenset({"valdorsena"}))
 _PAIRS = {("studio", "tecnico"): 90, ("studio", "dentistico"): 80, ("bar", "trattoria"): 90, ("pro", "loco"): 90, ("scuola", "primaria"): 90, ("asilo", "nido"): 90}
@@ -94,3 +96,23 @@ def test_another_vocabulary(spark, seed):
     want = {(a, b) for made in orgs.values() for a in made for b in made if a < b}
     got = {tuple(r) for r in same_name_pairs(values, PLACES).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
+def test_places_that_share_a_code(spark):
+    """A locality in a name makes no other organisation, also where several localities share one postal code."""
+    addresses = spark.createDataFrame([(f"Via Boracomuze {i}, 38100 {p}",) for p in ("Dugosudoza", "Mocagitevu", "Sitotulovi") for i in range(4)], "value string")
+    names = [v for p in ("Dugosudoza", "Mocagitevu", "Sitotulovi") for v in (f"Officina Zaripopica @ {p}", f"Officina Zaripopica {p}", "Officina Zaripopica")]
+    got = {tuple(r) for r in same_name_pairs(spark.createDataFrame([(v,) for v in names], "value string"), gazetteer(addresses), Vocabulary({"officina": 30}, {})).collect()}
+    assert got == {(a, b) for a in names for b in names if a < b}
+
+
+def test_many_places_are_looked_up_fast():
+    """Looking a word up among very many costs no more than among few."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bcdfglmnprstvz") + rnd.choice("aeiou") for _ in range(5))
+    index = NearIndex({word() for _ in range(20_000)})
+    index.find(word())
+    began = time.process_time()
+    for _ in range(100):
+        index.find(word())
+    assert time.process_time() - began < 0.5
