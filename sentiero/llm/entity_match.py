@@ -22,6 +22,8 @@ WORD, EDGE, COMMON, STREET, STREET_EDGE, OTHER = 0.8, 1.2, 0.5, 1.0, 0.5, 0.5
 EDGE_LETTERS = 5
 #: A document is a candidate only if its name reaches this share of what the query's name tokens can give.
 LEAST_SHARE = 0.25
+#: Or if its place reaches this share of what the query's place tokens can give, however its name is spelt.
+PLACE_SHARE = 0.25
 #: Documents kept for each query, and the share of the best score from which on further ones are kept too.
 TOP_K, WITHIN = 5, 0.75
 #: Least confidence of a match, and least share of letters that the proper tokens and the streets of a match agree in.
@@ -49,15 +51,17 @@ def profile_tokens(df: DataFrame) -> DataFrame:
     return both.select("id", *[F.col(f"{c}.{of}").alias(f"{to}_{of}s") for c, to in (("n", "name"), ("p", "place")) for of in ("token", "boost")])
 
 
-def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within: float = WITHIN, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Scored pairs (q, d, name, place, ideal, ideal_name, placed) of tables ``queries`` (id, name_tokens, name_boosts,
+def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within: float = WITHIN, least_share: float = LEAST_SHARE, place_share: float | None = None) -> DataFrame:
+    """Scored pairs (q, d, name, place, ideal, ideal_name, placed, named) of tables ``queries`` (id, name_tokens, name_boosts,
     place_tokens, place_boosts) and ``docs`` (id, name_tokens, place_tokens).
 
     ``name`` and ``place`` are the BM25 scores of the two kinds of tokens, each with its own length normalisation, so a
     document without a place isn't favoured. For each query come the k best documents by name + place, ties included,
     and all others that reach ``within`` of the best, among those whose name reaches ``least_share`` of what the query's
     name tokens can give; ``ideal`` and ``ideal_name`` are what all its tokens and those of its name can give, ``placed``
-    tells that both sides have a place. The result is exact: the name's tokens are ordered by their upper bound, and only
+    tells that both sides have a place. With ``place_share`` the same is done beside it for the documents whose name doesn't
+    reach its share (``named`` is false), among those whose place reaches ``place_share`` of what the query's place tokens
+    can give: names with errors at both ends of a word are found by their place. The result is exact: the name's (place's) tokens are ordered by their upper bound, and only
     those are looked up that a document reaching the least share can't do without, since the others together stay below
     it. Queries without an indexed name token give no row.
     """
@@ -77,25 +81,31 @@ def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within:
     by = Window.partitionBy("id")
     # Tokens no document holds count as the rarest, so that what is left of a misspelt name doesn't count as all of it.
     asked = terms.join(known.select("token", "idf", "most"), "token", "left").withColumn("idf", F.col("idf") * F.col("boost")).withColumn("known", F.col("idf") * F.col("most")).withColumn("ub", F.coalesce("known", F.col("boost") * math.log(1 + (n + 0.5) / 0.5)))
-    upto = F.sum(F.when(F.col("of_name"), F.col("known")).otherwise(0.0)).over(by.orderBy("known", "token").rowsBetween(Window.unboundedPreceding, 0))
-    asked = asked.withColumn("ideal", F.sum("ub").over(by)).withColumn("ideal_name", F.sum(F.when(F.col("of_name"), F.col("ub"))).over(by)).withColumn("upto", upto).withColumn("placed", F.max(~F.col("of_name")).over(by))
+    upto = F.sum("known").over(Window.partitionBy("id", "of_name").orderBy("known", "token").rowsBetween(Window.unboundedPreceding, 0))
+    asked = asked.withColumn("ideal", F.sum("ub").over(by)).withColumn("ideal_name", F.sum(F.when(F.col("of_name"), F.col("ub"))).over(by)).withColumn("ideal_place", F.sum(F.when(~F.col("of_name"), F.col("ub"))).over(by)).withColumn("upto", upto).withColumn("placed", F.max(~F.col("of_name")).over(by))
     needed = F.col("of_name") & (F.col("upto") >= least_share * F.col("ideal_name"))
+    if place_share is not None:
+        needed |= ~F.col("of_name") & (F.col("upto") >= place_share * F.col("ideal_place"))
     # One row a query: what it asks, with which weight, and which of it has to be looked up.
     term = F.when(F.col("idf").isNotNull(), F.struct("token", "idf", needed.alias("needed")))
-    asked = stage(asked.where(F.col("ideal_name") > 0).groupBy(F.col("id").alias("q")).agg(F.collect_list(term).alias("terms"), *[F.first(c).cast("float").alias(c) for c in ("ideal", "ideal_name")], F.first("placed").alias("placed")))
+    asked = stage(asked.where(F.col("ideal_name") > 0).groupBy(F.col("id").alias("q")).agg(F.collect_list(term).alias("terms"), *[F.first(c).cast("float").alias(c) for c in ("ideal", "ideal_name", "ideal_place")], F.first("placed").alias("placed")))
     wanted = asked.select("q", F.explode(F.filter("terms", lambda t: t["needed"])).alias("t")).select("q", "t.token")
-    pairs = wanted.join(docs.select(F.col("id").alias("d"), F.explode("name_tokens").alias("token")), "token").select("q", "d").distinct()
-    query_tokens = asked.select("q", F.col("terms.token").alias("want"), F.col("terms.idf").alias("idfs"), "ideal", "ideal_name", "placed")
+    indexed = F.col("name_tokens") if place_share is None else F.concat("name_tokens", "place_tokens")
+    pairs = wanted.join(docs.select(F.col("id").alias("d"), F.explode(indexed).alias("token")), "token").select("q", "d").distinct()
+    query_tokens = asked.select("q", F.col("terms.token").alias("want"), F.col("terms.idf").alias("idfs"), "ideal", "ideal_name", "ideal_place", "placed")
     scored = pairs.join(doc_tokens, "d").join(query_tokens, "q")
 
     def total(kind: str) -> Column:
         idf = lambda t: F.coalesce(F.get("idfs", (F.array_position("want", t) - 1).cast("int")), F.lit(0.0).cast("float"))
         return (F.aggregate(F.transform(f"{kind}_tokens", idf), F.lit(0.0), lambda s, w: s + w) * F.col(f"{kind}_norm")).cast("float").alias(kind)
 
-    scored = scored.select("q", "d", total("name"), total("place"), "ideal", "ideal_name", ((F.size("place_tokens") > 0) & F.col("placed")).alias("placed")).where(F.col("name") >= least_share * F.col("ideal_name") - 1e-4)
+    scored = scored.select("q", "d", total("name"), total("place"), "ideal", "ideal_name", "ideal_place", ((F.size("place_tokens") > 0) & F.col("placed")).alias("placed"))
+    scored = scored.withColumn("named", F.col("name") >= least_share * F.col("ideal_name") - 1e-4)
+    scored = scored.where("named" if place_share is None else F.col("named") | (F.col("place") >= place_share * F.col("ideal_place") - 1e-4))
     scored = scored.withColumn("score", F.col("name") + F.col("place"))
-    ranked = scored.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).withColumn("best", F.max("score").over(Window.partitionBy("q")))
-    return ranked.where((F.col("r") <= k) | (F.col("score") >= within * F.col("best"))).select("q", "d", "name", "place", "ideal", "ideal_name", "placed")
+    among = Window.partitionBy("q", "named")
+    ranked = scored.withColumn("r", F.rank().over(among.orderBy(F.desc("score")))).withColumn("best", F.max("score").over(among))
+    return ranked.where((F.col("r") <= k) | (F.col("score") >= within * F.col("best"))).select("q", "d", "name", "place", "ideal", "ideal_name", "placed", "named")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1e-2) -> np.ndarray:
@@ -126,7 +136,8 @@ FEATURES = {True: ["gap_q", "gap_d", "share", "alike", "alike_street"], False: [
 def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     """Candidates (service_id, poi_id, score, confidence, matched) of services and POIs, both (id, name, address).
 
-    Services ask the inverted index of all POI profiles (equal profiles once) for their exact top k; a pair stays if it
+    Services ask the inverted index of all POI profiles (equal profiles once) for their exact top k by name, and for that of
+    the others at their place, whose names may be misspelt at both ends; a pair stays if it
     is also near from the POI's side: among the POI's k best services or within the share of its best. Confidence is the
     probability that the civic numbers agree, an attribute that is held out of the index: a logistic fit of that
     agreement to the score gaps on either side, the share of the score that the query can reach and the letters agreed
@@ -151,9 +162,14 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     homes = full.where((F.col("street") != "") & (F.col("civic") != "")).groupBy(*bearer, "street", "civic").agg(F.count("*").alias("n")).groupBy(*bearer).agg((F.max("n") / F.sum("n")).cast("float").alias("main"))
     profiles = stage(full.dropDuplicates(["id", "of"]).join(homes, bearer, "left").select("of", "id", *fields, F.coalesce("main", F.lit(1.0)).alias("main")))
     q, d = profiles.where("of = 's'"), profiles.where("of = 'p'")
-    slim = bm25_candidates(profile_tokens(q), profile_tokens(d)).withColumn("score", F.col("name") + F.col("place"))
-    gap = lambda of, c: F.coalesce(F.try_divide(of, F.max(of).over(Window.partitionBy(c))), F.lit(0.0))
-    slim = slim.withColumns({"gap_q": gap("score", "q"), "name_gap_q": gap("name", "q")}).withColumns({"gap_d": gap("score", "d"), "name_gap_d": gap("name", "d"), "rank_d": F.rank().over(Window.partitionBy("d").orderBy(F.desc("score")))})
+    slim = bm25_candidates(profile_tokens(q), profile_tokens(d), place_share=PLACE_SHARE).withColumn("score", F.col("name") + F.col("place"))
+
+    def gap(of: str, c: str) -> Column:
+        """Share of the best of the candidates by name; those by place only are set against all."""
+        best = F.max(F.when(F.col("named"), F.col(of))).over(Window.partitionBy(c))
+        return F.coalesce(F.try_divide(of, F.when(F.col("named"), best).otherwise(F.max(of).over(Window.partitionBy(c)))), F.lit(0.0))
+
+    slim = slim.withColumns({"gap_q": gap("score", "q"), "name_gap_q": gap("name", "q")}).withColumns({"gap_d": gap("score", "d"), "name_gap_d": gap("name", "d"), "rank_d": F.rank().over(Window.partitionBy("d", "named").orderBy(F.desc("score")))})
     slim = slim.where((F.col("rank_d") <= TOP_K) | (F.col("gap_d") >= WITHIN) | (~F.col("placed") & (F.col("name_gap_d") >= WITHIN)))
     side = lambda df, c: df.select(F.col("id").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in [*fields, "main"]])
     pairs = slim.join(side(d, "d"), "d").join(side(q, "q"), "q")
@@ -165,7 +181,7 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     one_place = fits("civic") & fits("locality") & fits("kind") & (~F.col("placed") | (alike_street >= ALIKE)) & (~lacking | (F.least("q_main", "d_main") >= 0.5))
     # From here on a pair is a row of numbers.
     single = lambda c, n: c.cast("float").alias(n)
-    pairs = pairs.select("q", "d", "placed", single(F.col("score"), "score"), *[single(F.col(c), c) for c in ("gap_q", "gap_d", "name_gap_q", "name_gap_d")], single(F.coalesce(F.try_divide("score", "ideal"), F.lit(0.0)), "share"), single(F.coalesce(F.try_divide("name", "ideal_name"), F.lit(0.0)), "name_share"), single(alike, "alike"), single(alike_street, "alike_street"), F.when(~lacking, F.col("q_civic") == F.col("d_civic")).alias("agree"), (one_name & one_place).alias("same"))
+    pairs = pairs.select("q", "d", "placed", "named", single(F.col("score"), "score"), *[single(F.col(c), c) for c in ("gap_q", "gap_d", "name_gap_q", "name_gap_d")], single(F.coalesce(F.try_divide("score", "ideal"), F.lit(0.0)), "share"), single(F.coalesce(F.try_divide("name", "ideal_name"), F.lit(0.0)), "name_share"), single(alike, "alike"), single(alike_street, "alike_street"), F.when(~lacking, F.col("q_civic") == F.col("d_civic")).alias("agree"), (one_name & one_place).alias("same"))
     pairs = stage(pairs)
     rated = pairs.withColumn("confidence", F.when(F.col("placed"), _calibrated(pairs, FEATURES[True])).otherwise(_calibrated(pairs, FEATURES[False])))
     rated = rated.select("q", "d", F.col("score").cast("double").alias("score"), "confidence", (F.col("same") & (F.col("confidence") >= CONFIDENCE)).alias("matched"))
@@ -176,7 +192,7 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
 
 def _calibrated(pairs: DataFrame, features: list[str]) -> Column:
     """Confidence by ``features``: a logistic fit to a bounded sample of pairs labelled by the held-out civic numbers."""
-    both = pairs.where(F.col("agree").isNotNull() & F.col("placed"))
+    both = pairs.where(F.col("agree").isNotNull() & F.col("placed") & F.col("named"))
     n = both.count()
     sample = both if n <= CALIBRATION_ROWS else both.sample(CALIBRATION_ROWS / n, seed=11).limit(2 * CALIBRATION_ROWS)
     at = sample.select(*features, "agree").toPandas()

@@ -117,3 +117,37 @@ def test_missing_values(spark):
     got = {(r["service_id"], r["poi_id"]) for r in match_entities(s, p).where("matched").collect()}
     assert (9004, 300_000) in got and not any(a in (9001, 9002, 9003) for a, _ in got)
     assert match_entities(s.limit(0), p).count() == 0 and match_entities(s, p.limit(0)).count() == 0
+
+
+def test_names_with_errors_at_both_ends(spark):
+    """Names that share no word and no end of one are found by their place."""
+    services, pois, true = _places(8, 200)
+    swapped = lambda name: " ".join(w[:4] + w[5] + w[4] + w[6:] if len(w) == 10 else w for w in name.split(" "))
+    pois = [(i, n if i // 10 % 3 else swapped(n), a) for i, n, a in pois]
+    schema = "id bigint, name string, address string"
+    found = match_entities(spark.createDataFrame(services, schema), spark.createDataFrame(pois, schema)).where("matched").collect()
+    got = {(r["service_id"], r["poi_id"]) for r in found}
+    assert len(got & true) >= 0.75 * len(true) and len(got & true) >= 0.95 * len(got)
+
+
+def test_top_k_by_place_adds_only(spark):
+    """What is found by place comes beside what is found by name, exact as well."""
+    rows = [(1, 1, 1.0, True), (1, 11, 1.0, False), (1, 12, 1.0, False)]
+    docs = [(100, 1, 1.0, True), (101, 2, 1.0, True), (101, 11, 1.0, False), (101, 12, 1.0, False), (102, 3, 1.0, True), (102, 13, 1.0, False)]
+    q, d = _table(spark, rows), _table(spark, docs)
+    plain = {(r["d"], round(r["name"], 4)) for r in bm25_candidates(q, d).collect()}
+    both = {(r["d"], round(r["name"], 4)): r["named"] for r in bm25_candidates(q, d, place_share=0.25).collect()}
+    assert plain == {x for x, named in both.items() if named} and {x for x, _ in plain} == {100}
+    assert {x for (x, _), named in both.items() if not named} == {101}
+
+
+def test_services_of_places_that_share_a_code(spark):
+    """One name and street in two localities of one postal code are two places."""
+    schema = "id bigint, name string, address string"
+    services, pois, true = _places(9, 100)
+    at = lambda i, p: f"Via Boracomuze {i}, 38100 {p}"
+    filler = [(5000 + 10 * i + k, f"Palestra Comunale Sotobigure {i}", at(i, p)) for i in range(4) for k, p in enumerate(("Dugosudoza", "Mocagitevu"))]
+    services = [*services, *filler, (9001, "Farmacia Lorguripade", at(7, "Dugosudoza")), (9002, "Farmacia Lorguripade", at(7, "Mocagitevu"))]
+    pois = [*pois, (300_001, "Farmacia Lorguripade @ Dugosudoza", "Dugosudoza - via Boracomuze, 7"), (300_002, "Farmacia Lorguripade @ Mocagitevu", "Mocagitevu - via Boracomuze, 7")]
+    found = match_entities(spark.createDataFrame(services, schema), spark.createDataFrame(pois, schema)).where("matched").collect()
+    assert {(r["service_id"], r["poi_id"]) for r in found if r["service_id"] > 9000} == {(9001, 300_001), (9002, 300_002)}
