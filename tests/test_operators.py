@@ -371,3 +371,11 @@ def test_small_operators(spark):
     assert {tuple(r) for r in graph.best_stop_of_node(stops).collect()} == {("n", "s1"), ("m", "s3")}
     e = graph.edge_times(spark.createDataFrame([(1, 2)], "src int, dst int"), spark.createDataFrame([(1, 4.0), (2, 8.0)], "id int, t double"))
     assert e.first()["media"] == 6.0
+
+
+def test_densified_lines_of_repeated_ids(spark):
+    """Rows with one id are lines of their own."""
+    ends = [[(0.0, 0.0), (100.0, 0.0)], [(0.0, 50.0), (30.0, 50.0), (30.0, 70.0)], [(0.0, 0.0), (100.0, 0.0)]]
+    lines = spark.createDataFrame([(1, line) for line in ends], "line_id int, line array<struct<x double,y double>>")
+    got = sorted((r["seq"], r["x"], r["y"]) for r in graph.densify(lines).collect())
+    assert got == sorted(2 * [(i, 25.0 * i, 0.0) for i in range(5)] + [(0, 0.0, 50.0), (1, 25.0, 50.0), (2, 30.0, 70.0)])
