@@ -122,3 +122,14 @@ def test_graphml_of_odd_names(spark):
     nodes, back = readers.graphml_parts(writers.graphml_documents(edges, "zona"))
     assert {(r["src"], r["dst"], r["key"], r["travel_time"], r["walk_time_s"]) for r in back.collect()} == {('a"&<', "b", "1", None, 2.0), ("b", "a", "2", 3.0, None)}
     assert {r["id"] for r in nodes.collect()} == {'a"&<', "b", "a"}
+
+
+def test_graphml_of_many_edges(spark):
+    """A large network becomes several whole documents, which hold every edge once."""
+    k = F.col("id")
+    edges = spark.range(12_000).select(F.lit("z").alias("zona"), (k % 700).alias("src"), (k % 900).alias("dst"), k.cast("string").alias("key"), F.lit(None).cast("double").alias("travel_time"), k.cast("double").alias("walk_time_s"), F.lit(None).cast("double").alias("length"))
+    documents = writers.graphml_documents(edges, "zona")
+    assert documents.count() == 3 and documents.agg(F.max(F.length("content"))).first()[0] < 1_000_000
+    nodes, back = readers.graphml_parts(documents)
+    assert sorted((int(r["key"]), r["src"], r["dst"], r["walk_time_s"]) for r in back.collect()) == [(i, str(i % 700), str(i % 900), float(i)) for i in range(12_000)]
+    assert {int(r["id"]) for r in nodes.collect()} == set(range(900))
