@@ -16,42 +16,92 @@ from .names import given_fits, read_names, words_fit
 from .vocabulary import common_words, gazetteer
 
 K1, B = 1.2, 0.3
-#: Weights of the tokens: whole words, their first and last letters, common words, other attributes.
-WORD, EDGE, COMMON, STREET, STREET_EDGE, OTHER = 0.8, 1.2, 0.5, 1.0, 0.5, 0.5
-#: Letters of a word's edges that are indexed.
-EDGE_LETTERS = 5
+#: Weights of the tokens: whole words, their first and last letters, their consonants or vowels, common words, other attributes.
+WORD, EDGE, BONES, COMMON, STREET, STREET_EDGE, OTHER = 0.8, 1.2, 1.0, 0.5, 1.0, 0.5, 0.5
+#: Letters of a word's edges that are indexed, and of a name's word of ``LONG`` letters or more.
+EDGE_LETTERS, LONG, LONG_EDGE = 5, 8, 6
 #: A document is a candidate only if its name reaches this share of what the query's name tokens can give.
-LEAST_SHARE = 0.25
-#: Or if its place reaches this share of what the query's place tokens can give, however its name is spelt.
-PLACE_SHARE = 0.25
+LEAST_SHARE = 0.15
+#: Letters that are told apart, and how many of a kind a word must have to be known by them.
+VOWELS, CONSONANTS, LEAST_CONSONANTS, LEAST_VOWELS = "aeiou", "bcdfghjklmnpqrstvwxyz", 3, 4
 #: Documents kept for each query, and the share of the best score from which on further ones are kept too.
-TOP_K, WITHIN = 5, 0.75
+TOP_K, WITHIN = 10, 0.75
 #: Least confidence of a match, and least share of letters that the proper tokens and the streets of a match agree in.
 CONFIDENCE, ALIKE = 0.35, 0.7
 #: Labelled pairs the calibration is fitted on at most; every pair gets its confidence from the fit.
 CALIBRATION_ROWS = 20_000
 
 
+def _head(w: Column) -> Column:
+    return F.left(w, F.lit(EDGE_LETTERS))
+
+
+def _tail(w: Column) -> Column:
+    return F.right(w, F.lit(EDGE_LETTERS))
+
+
+def _edge(w: Column) -> Column:
+    return F.when(F.length(w) >= LONG, LONG_EDGE).otherwise(EDGE_LETTERS)
+
+
+def _single(w: Column) -> Column:
+    return F.regexp_replace(w, r"(.)\1+", "$1")
+
+
+def _consonants(w: Column) -> Column:
+    """A word's consonants in order, doubled ones once: vowels mistaken and neighbours swapped leave them whole."""
+    c = F.translate(w, VOWELS, "")
+    return F.when(F.length(c) >= LEAST_CONSONANTS, _single(c)).otherwise(w)
+
+
+def _vowels(w: Column) -> Column:
+    """A word's vowels in order, doubled ones once, between its first and last consonant."""
+    v, c = F.translate(w, CONSONANTS, ""), F.translate(w, VOWELS, "")
+    return F.when(F.length(v) >= LEAST_VOWELS, F.concat(F.left(c, F.lit(1)), _single(v), F.right(c, F.lit(1)))).otherwise(w)
+
+
+def _parts(field: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(field), F.lit("")), r"[ |]"), lambda w: w != "")
+
+
 def profile_tokens(df: DataFrame) -> DataFrame:
     """(id, name_tokens, name_boosts, place_tokens, place_boosts) of profiles (id, activity, word, given, ordinal, kind,
     street, locality).
 
     Every attribute is indexed: words as written, the first and last letters of each (so that a typing error leaves one
-    end whole), common words, given name, ordinal, street, kind and locality. The civic number is held out.
+    end whole), its consonants and its vowels (so that errors at both ends may leave one of these whole), common words,
+    given name, ordinal, street, kind and locality. The civic number is held out.
     """
 
     def tokens(label: str, field: str, boost: float, change=lambda w: w) -> Column:
-        parts = F.filter(F.split(F.coalesce(F.col(field), F.lit("")), r"[ |]"), lambda w: w != "")
-        return F.transform(parts, lambda w: F.struct(F.xxhash64(F.lit(label), change(w)).alias("token"), F.lit(boost).cast("float").alias("boost")))
+        return F.transform(_parts(field), lambda w: F.struct(F.xxhash64(F.lit(label), change(w)).alias("token"), F.lit(boost).cast("float").alias("boost")))
 
-    head, tail = (lambda w: F.left(w, F.lit(EDGE_LETTERS))), (lambda w: F.right(w, F.lit(EDGE_LETTERS)))
-    name = F.array_distinct(F.concat(tokens("n", "word", WORD), tokens("p", "word", EDGE, head), tokens("s", "word", EDGE, tail), tokens("a", "activity", COMMON), tokens("g", "given", OTHER), tokens("o", "ordinal", OTHER)))
-    place = F.array_distinct(F.concat(tokens("t", "street", STREET), tokens("tp", "street", STREET_EDGE, head), tokens("ts", "street", STREET_EDGE, tail), tokens("k", "kind", OTHER), tokens("l", "locality", OTHER)))
+    name = F.array_distinct(F.concat(tokens("n", "word", WORD), tokens("p", "word", EDGE, lambda w: F.left(w, _edge(w))), tokens("s", "word", EDGE, lambda w: F.right(w, _edge(w))), tokens("c", "word", BONES, _consonants), tokens("v", "word", BONES, _vowels), tokens("a", "activity", COMMON), tokens("g", "given", OTHER), tokens("o", "ordinal", OTHER)))
+    place = F.array_distinct(F.concat(tokens("t", "street", STREET), tokens("tp", "street", STREET_EDGE, _head), tokens("ts", "street", STREET_EDGE, _tail), tokens("k", "kind", OTHER), tokens("l", "locality", OTHER)))
     both = df.select("id", name.alias("n"), place.alias("p"))
     return both.select("id", *[F.col(f"{c}.{of}").alias(f"{to}_{of}s") for c, to in (("n", "name"), ("p", "place")) for of in ("token", "boost")])
 
 
-def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within: float = WITHIN, least_share: float = LEAST_SHARE, place_share: float | None = None) -> DataFrame:
+def site_keys(df: DataFrame, asked: bool) -> DataFrame:
+    """(id, sites) of profiles (id, street, civic): keys that an asked profile and a held one share if their streets agree
+    in the first or last letters of a word and their civic numbers are equal or one has none, or in a word's consonants
+    and the civic numbers are equal."""
+    civic, edges = F.col("civic"), (("p", _head), ("s", _tail))
+    # A held profile stands under its number and under any ("*"); who has a number asks for it and for none.
+    if asked:
+        numbers = F.when(civic == "", F.array(F.lit("*"))).otherwise(F.array(civic, F.lit("")))
+    else:
+        numbers = F.array(civic, F.lit("*"))
+
+    def keys(word: Column) -> Column:
+        forms = F.array(*[F.concat(F.lit(of), change(word)) for of, change in edges])
+        by_edges = F.flatten(F.transform(numbers, lambda n: F.transform(forms, lambda f: F.xxhash64(f, n))))
+        return F.concat(by_edges, F.when(civic != "", F.array(F.xxhash64(F.lit("c"), _consonants(word), civic))).otherwise(F.array().cast("array<bigint>")))
+
+    return df.where("street <> ''").select("id", F.array_distinct(F.flatten(F.transform(_parts("street"), keys))).alias("sites"))
+
+
+def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within: float = WITHIN, least_share: float = LEAST_SHARE, place_share: float | None = None, sites: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Scored pairs (q, d, name, place, ideal, ideal_name, placed, named) of tables ``queries`` (id, name_tokens, name_boosts,
     place_tokens, place_boosts) and ``docs`` (id, name_tokens, place_tokens).
 
@@ -61,7 +111,8 @@ def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within:
     name tokens can give; ``ideal`` and ``ideal_name`` are what all its tokens and those of its name can give, ``placed``
     tells that both sides have a place. With ``place_share`` the same is done beside it for the documents whose name doesn't
     reach its share (``named`` is false), among those whose place reaches ``place_share`` of what the query's place tokens
-    can give: names with errors at both ends of a word are found by their place. The result is exact: the name's (place's) tokens are ordered by their upper bound, and only
+    can give: names with errors at both ends of a word are found by their place; with ``sites``, keys (id, sites) of the
+    queries and of the documents, for all documents that share a key, whatever their score. The result is exact: the name's (place's) tokens are ordered by their upper bound, and only
     those are looked up that a document reaching the least share can't do without, since the others together stay below
     it. Queries without an indexed name token give no row.
     """
@@ -89,9 +140,13 @@ def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within:
     # One row a query: what it asks, with which weight, and which of it has to be looked up.
     term = F.when(F.col("idf").isNotNull(), F.struct("token", "idf", needed.alias("needed")))
     asked = stage(asked.where(F.col("ideal_name") > 0).groupBy(F.col("id").alias("q")).agg(F.collect_list(term).alias("terms"), *[F.first(c).cast("float").alias(c) for c in ("ideal", "ideal_name", "ideal_place")], F.first("placed").alias("placed")))
-    wanted = asked.select("q", F.explode(F.filter("terms", lambda t: t["needed"])).alias("t")).select("q", "t.token")
+    wanted = asked.select("q", F.explode(F.filter("terms", lambda t: t["needed"])).alias("t")).select("q", "t.token", F.lit(False).alias("sited"))
     indexed = F.col("name_tokens") if place_share is None else F.concat("name_tokens", "place_tokens")
-    pairs = wanted.join(docs.select(F.col("id").alias("d"), F.explode(indexed).alias("token")), "token").select("q", "d").distinct()
+    lists = docs.select(F.col("id").alias("d"), F.explode(indexed).alias("token"))
+    if sites is not None:
+        wanted = wanted.unionByName(sites[0].select(F.col("id").alias("q"), F.explode("sites").alias("token"), F.lit(True).alias("sited")))
+        lists = lists.unionByName(sites[1].select(F.col("id").alias("d"), F.explode("sites").alias("token")))
+    pairs = wanted.join(lists, "token").groupBy("q", "d").agg(F.max("sited").alias("sited"))
     query_tokens = asked.select("q", F.col("terms.token").alias("want"), F.col("terms.idf").alias("idfs"), "ideal", "ideal_name", "ideal_place", "placed")
     scored = pairs.join(doc_tokens, "d").join(query_tokens, "q")
 
@@ -99,13 +154,14 @@ def bm25_candidates(queries: DataFrame, docs: DataFrame, k: int = TOP_K, within:
         idf = lambda t: F.coalesce(F.get("idfs", (F.array_position("want", t) - 1).cast("int")), F.lit(0.0).cast("float"))
         return (F.aggregate(F.transform(f"{kind}_tokens", idf), F.lit(0.0), lambda s, w: s + w) * F.col(f"{kind}_norm")).cast("float").alias(kind)
 
-    scored = scored.select("q", "d", total("name"), total("place"), "ideal", "ideal_name", "ideal_place", ((F.size("place_tokens") > 0) & F.col("placed")).alias("placed"))
+    scored = scored.select("q", "d", "sited", total("name"), total("place"), "ideal", "ideal_name", "ideal_place", ((F.size("place_tokens") > 0) & F.col("placed")).alias("placed"))
     scored = scored.withColumn("named", F.col("name") >= least_share * F.col("ideal_name") - 1e-4)
-    scored = scored.where("named" if place_share is None else F.col("named") | (F.col("place") >= place_share * F.col("ideal_place") - 1e-4))
+    by_place = F.lit(False) if place_share is None else F.col("place") >= place_share * F.col("ideal_place") - 1e-4
+    scored = scored.where(F.col("named") | F.col("sited") | by_place)
     scored = scored.withColumn("score", F.col("name") + F.col("place"))
     among = Window.partitionBy("q", "named")
     ranked = scored.withColumn("r", F.rank().over(among.orderBy(F.desc("score")))).withColumn("best", F.max("score").over(among))
-    return ranked.where((F.col("r") <= k) | (F.col("score") >= within * F.col("best"))).select("q", "d", "name", "place", "ideal", "ideal_name", "placed", "named")
+    return ranked.where((F.col("r") <= k) | (F.col("score") >= within * F.col("best")) | F.col("sited")).select("q", "d", "name", "place", "ideal", "ideal_name", "placed", "named", "sited")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1e-2) -> np.ndarray:
@@ -122,26 +178,32 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float =
 
 
 def _alike(a: str, b: str) -> Column:
-    """Share of letters two texts agree in, by edit distance; null where one is empty."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when((F.col(a) != "") & (F.col(b) != ""), 1 - F.levenshtein(F.col(a), F.col(b)) / longest)
+    """Share of letters two texts agree in, by edit distance; null where one is empty.
+
+    Or that of their consonants followed by their vowels if it's greater: a vowel and a consonant swapped are one slip.
+    """
+    longest, sorted_ = F.greatest(F.length(a), F.length(b)), lambda c: F.concat(F.translate(F.col(c), VOWELS, ""), F.translate(F.col(c), CONSONANTS, ""))
+    plain = F.levenshtein(F.col(a), F.col(b))
+    edits = F.when(plain <= 1, plain).otherwise(F.least(plain, F.levenshtein(sorted_(a), sorted_(b))))
+    return F.when((F.col(a) != "") & (F.col(b) != ""), F.when(F.col(a) == F.col(b), 1.0).otherwise(1 - edits / longest))
 
 
 NAME_FIELDS = ["activity", "word", "given", "ordinal"]
 PLACE_FIELDS = ["kind", "street", "civic", "locality"]
 #: What the confidence is made of, with a street on both sides and without.
-FEATURES = {True: ["gap_q", "gap_d", "share", "alike", "alike_street"], False: ["name_gap_q", "name_gap_d", "name_share", "alike"]}
+FEATURES = {True: ["gap_q", "gap_d", "share", "alike", "alike_street", "near"], False: ["name_gap_q", "name_gap_d", "name_share", "alike", "near", "settled"]}
 
 
 def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     """Candidates (service_id, poi_id, score, confidence, matched) of services and POIs, both (id, name, address).
 
     Services ask the inverted index of all POI profiles (equal profiles once) for their exact top k by name, and for that of
-    the others at their place, whose names may be misspelt at both ends; a pair stays if it
-    is also near from the POI's side: among the POI's k best services or within the share of its best. Confidence is the
+    the others at their site (``site_keys``), however their names are misspelt; a pair stays if it
+    is also near from the POI's side: among the POI's k best services, within the share of its best or at its site. Confidence is the
     probability that the civic numbers agree, an attribute that is held out of the index: a logistic fit of that
-    agreement to the score gaps on either side, the share of the score that the query can reach and the letters agreed
-    in, on at most ``CALIBRATION_ROWS`` pairs that carry both numbers; every pair gets its confidence from the fit. Where
+    agreement to the score gaps on either side, the share of the score that the query can reach, the letters agreed in
+    and whether these are ``ALIKE`` or more (names with a slip are much likelier to be one than their letters alone tell) and, without a street, whether the name's
+    bearers have one place in the main, on at most ``CALIBRATION_ROWS`` pairs that carry both numbers; every pair gets its confidence from the fit. Where
     a side has no street, only what concerns the name counts. ``matched``: confidence of ``CONFIDENCE`` or more, and nothing in the two
     records speaks against it: proper tokens alike, ordinal, given name and common words, civic number, locality and
     street kind not at odds; where a civic number is missing, the bearers of the name have one place in the main.
@@ -157,12 +219,17 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     fields = [*NAME_FIELDS, *PLACE_FIELDS]
     full = rows.join(named, "name", "left").join(placed, "address", "left").select(F.col("id").alias("row"), "of", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
     full = stage(full.withColumn("id", F.xxhash64(*fields)))
-    # Where the bearers of a name are: the share of their commonest place.
-    bearer = ["word", "activity", "ordinal"]
-    homes = full.where((F.col("street") != "") & (F.col("civic") != "")).groupBy(*bearer, "street", "civic").agg(F.count("*").alias("n")).groupBy(*bearer).agg((F.max("n") / F.sum("n")).cast("float").alias("main"))
-    profiles = stage(full.dropDuplicates(["id", "of"]).join(homes, bearer, "left").select("of", "id", *fields, F.coalesce("main", F.lit(1.0)).alias("main")))
+    # Where the bearers of a name are: the share of their commonest place, known by civic number and the street's first letter.
+    bearer = F.when(F.col("word") != "", F.xxhash64("word", "activity", "ordinal")).otherwise(F.col("id"))
+    home = F.when((F.col("street") != "") & (F.col("civic") != ""), F.xxhash64(F.left("street", F.lit(1)), "civic"))
+    borne = full.select("of", "id", *fields, bearer.alias("bearer"), home.alias("home")).repartition("bearer")
+    # One shuffle: all that follows is by bearer.
+    borne = borne.withColumn("n", F.count("home").over(Window.partitionBy("bearer", "home")))
+    borne = borne.withColumn("main", F.try_divide(F.max("n").over(Window.partitionBy("bearer")), F.count("home").over(Window.partitionBy("bearer"))).cast("float"))
+    borne = borne.withColumn("r", F.row_number().over(Window.partitionBy("bearer", "id", "of").orderBy("home"))).where("r = 1")
+    profiles = stage(borne.select("of", "id", *fields, F.coalesce("main", F.lit(1.0)).alias("main")))
     q, d = profiles.where("of = 's'"), profiles.where("of = 'p'")
-    slim = bm25_candidates(profile_tokens(q), profile_tokens(d), place_share=PLACE_SHARE).withColumn("score", F.col("name") + F.col("place"))
+    slim = bm25_candidates(profile_tokens(q), profile_tokens(d), sites=(site_keys(q, True), site_keys(d, False))).withColumn("score", F.col("name") + F.col("place"))
 
     def gap(of: str, c: str) -> Column:
         """Share of the best of the candidates by name; those by place only are set against all."""
@@ -170,18 +237,21 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
         return F.coalesce(F.try_divide(of, F.when(F.col("named"), best).otherwise(F.max(of).over(Window.partitionBy(c)))), F.lit(0.0))
 
     slim = slim.withColumns({"gap_q": gap("score", "q"), "name_gap_q": gap("name", "q")}).withColumns({"gap_d": gap("score", "d"), "name_gap_d": gap("name", "d"), "rank_d": F.rank().over(Window.partitionBy("d", "named").orderBy(F.desc("score")))})
-    slim = slim.where((F.col("rank_d") <= TOP_K) | (F.col("gap_d") >= WITHIN) | (~F.col("placed") & (F.col("name_gap_d") >= WITHIN)))
-    side = lambda df, c: df.select(F.col("id").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in [*fields, "main"]])
-    pairs = slim.join(side(d, "d"), "d").join(side(q, "q"), "q")
+    slim = slim.where(F.col("sited") | (F.col("rank_d") <= TOP_K) | (F.col("gap_d") >= WITHIN) | (~F.col("placed") & (F.col("name_gap_d") >= WITHIN)))
+    # The fields travel as one text.
+    side = lambda df, c: df.select(F.col("id").alias(c), F.concat_ws("\t", *fields).alias(f"{c}_all"), F.col("main").alias(f"{c}_main"))
+    pairs = slim.join(side(d, "d"), "d").join(side(q, "q"), "q").withColumns({f"{c}_all": F.split(f"{c}_all", "\t", -1) for c in "qd"})
+    pairs = pairs.select("*", *[F.col(f"{c}_all")[i].alias(f"{c}_{f}") for c in "qd" for i, f in enumerate(fields)])
     at = lambda f: (F.col(f"q_{f}"), F.col(f"d_{f}"))
     fits = lambda f: (F.col(f"q_{f}") == F.col(f"d_{f}")) | (F.col(f"q_{f}") == "") | (F.col(f"d_{f}") == "")
+    settled = F.least("q_main", "d_main") >= 0.5
     lacking = (F.col("q_civic") == "") | (F.col("d_civic") == "")
     alike, alike_street = F.coalesce(_alike("q_word", "d_word"), F.lit(0.0)), F.coalesce(_alike("q_street", "d_street"), F.lit(0.0))
     one_name = (alike >= ALIKE) & (F.col("q_ordinal") == F.col("d_ordinal")) & words_fit(*at("activity")) & given_fits(*at("given"))
-    one_place = fits("civic") & fits("locality") & fits("kind") & (~F.col("placed") | (alike_street >= ALIKE)) & (~lacking | (F.least("q_main", "d_main") >= 0.5))
+    one_place = fits("civic") & fits("locality") & fits("kind") & (~F.col("placed") | (alike_street >= ALIKE)) & (~lacking | settled)
     # From here on a pair is a row of numbers.
     single = lambda c, n: c.cast("float").alias(n)
-    pairs = pairs.select("q", "d", "placed", "named", single(F.col("score"), "score"), *[single(F.col(c), c) for c in ("gap_q", "gap_d", "name_gap_q", "name_gap_d")], single(F.coalesce(F.try_divide("score", "ideal"), F.lit(0.0)), "share"), single(F.coalesce(F.try_divide("name", "ideal_name"), F.lit(0.0)), "name_share"), single(alike, "alike"), single(alike_street, "alike_street"), F.when(~lacking, F.col("q_civic") == F.col("d_civic")).alias("agree"), (one_name & one_place).alias("same"))
+    pairs = pairs.select("q", "d", "placed", "named", single(settled, "settled"), single(F.col("score"), "score"), *[single(F.col(c), c) for c in ("gap_q", "gap_d", "name_gap_q", "name_gap_d")], single(F.coalesce(F.try_divide("score", "ideal"), F.lit(0.0)), "share"), single(F.coalesce(F.try_divide("name", "ideal_name"), F.lit(0.0)), "name_share"), single(alike, "alike"), single(alike_street, "alike_street"), single(alike >= ALIKE, "near"), F.when(~lacking, F.col("q_civic") == F.col("d_civic")).alias("agree"), (one_name & one_place).alias("same"))
     pairs = stage(pairs)
     rated = pairs.withColumn("confidence", F.when(F.col("placed"), _calibrated(pairs, FEATURES[True])).otherwise(_calibrated(pairs, FEATURES[False])))
     rated = rated.select("q", "d", F.col("score").cast("double").alias("score"), "confidence", (F.col("same") & (F.col("confidence") >= CONFIDENCE)).alias("matched"))

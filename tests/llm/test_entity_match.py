@@ -151,3 +151,24 @@ def test_services_of_places_that_share_a_code(spark):
     pois = [*pois, (300_001, "Farmacia Lorguripade @ Dugosudoza", "Dugosudoza - via Boracomuze, 7"), (300_002, "Farmacia Lorguripade @ Mocagitevu", "Mocagitevu - via Boracomuze, 7")]
     found = match_entities(spark.createDataFrame(services, schema), spark.createDataFrame(pois, schema)).where("matched").collect()
     assert {(r["service_id"], r["poi_id"]) for r in found if r["service_id"] > 9000} == {(9001, 300_001), (9002, 300_002)}
+
+
+def test_misspelt_beside_many_branches(spark):
+    """A misspelt POI at the service's own place is found although more than k well-spelt branches score above it."""
+    schema = "id bigint, name string, address string"
+    services, pois, _ = _places(10, 100)
+    services.append((9001, "Farmacia Lorguripade", "Via Boracomuze 5"))
+    pois += [(300_000 + i, "Farmacia Lorguripade", f"Via {chr(66 + i)}otarimedu {10 + i}") for i in range(14)]
+    pois.append((301_000, "Farmacia Lorguprade", "V. Boracomuze, 5"))
+    found = match_entities(spark.createDataFrame(services, schema), spark.createDataFrame(pois, schema)).where("matched").collect()
+    assert {r["poi_id"] for r in found if r["service_id"] == 9001} == {301_000}
+
+
+def test_errors_at_both_ends_without_a_place(spark):
+    """A name with a slip at either end and no address on one side is found by its consonants or its vowels."""
+    schema = "id bigint, name string, address string"
+    services, pois, _ = _places(11, 200)
+    services += [(9001, "Farmacia Magerozase", None), (9002, "Officina Golupozata", "Via Boracomuze 5")]
+    pois += [(300_001, "Farmacia Magroazse", "Via Boracomuze 7"), (300_002, "Officina Goupzoata", None)]
+    found = match_entities(spark.createDataFrame(services, schema), spark.createDataFrame(pois, schema)).where("matched").collect()
+    assert {(r["service_id"], r["poi_id"]) for r in found if r["service_id"] > 9000} == {(9001, 300_001), (9002, 300_002)}
