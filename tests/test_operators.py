@@ -379,3 +379,20 @@ def test_densified_lines_of_repeated_ids(spark):
     lines = spark.createDataFrame([(1, line) for line in ends], "line_id int, line array<struct<x double,y double>>")
     got = sorted((r["seq"], r["x"], r["y"]) for r in graph.densify(lines).collect())
     assert got == sorted(2 * [(i, 25.0 * i, 0.0) for i in range(5)] + [(0, 0.0, 50.0), (1, 25.0, 50.0), (2, 30.0, 70.0)])
+
+
+def test_nearness_within_reach_only():
+    """Nearness is computed for the rows within reach in latitude; impossible and missing latitudes are compared as before."""
+    rnd = np.random.default_rng(3)
+
+    def all_rows(lats, lons, lat, lon):
+        la, lo, x, y = (np.radians(np.array(v, float)) for v in (lats, lons, lat, lon))
+        a = np.sin((la - x) / 2) ** 2 + np.cos(x) * np.cos(la) * np.sin((lo - y) / 2) ** 2
+        return np.nan_to_num(np.maximum(0.0, 1 - 2 * matching.EARTH_M * np.arcsin(np.sqrt(np.minimum(1.0, a))) / 250.0))
+
+    for odd in ([], [None], [406.0, None]):
+        lats = [*(46 + rnd.uniform(-0.01, 0.01, 300)).tolist(), *odd]
+        lons = [*(11 + rnd.uniform(-0.01, 0.01, 300)).tolist(), *(11.0 for _ in odd)]
+        block = matching.BaseBlock(list(range(len(lats))), ["x"] * len(lats), lats, lons)
+        for lat, lon in ((46.0, 11.0), (lats[7], lons[7]), (46.0, np.nan), (np.nan, 11.0), (406.0, 11.0)):
+            assert np.allclose(block._near(np.radians(lat), np.radians(lon), 250.0), all_rows(lats, lons, lat, lon), atol=1e-12)
