@@ -253,6 +253,34 @@ def test_fuzzy_candidates_against_all_pairs(spark):
         assert got.get(row, []) == [w for w in want if w[0] >= 60][:5]
 
 
+def test_fuzzy_parts_of_many_pairs():
+    rnd = random.Random(3)
+    text = lambda n: " ".join("".join(rnd.choice("aeimnorst") for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, n)))
+    a, b = ([text(n) for n in (3, 6, 9, 16) for _ in range(40)] for _ in range(2))
+    x, y = matching._Compared(a), matching._Compared(b)
+    i, j = (np.array([rnd.randrange(160) for _ in range(3000)]) for _ in range(2))
+    got = matching._partials(x.raw, x.length, i, y.raw, y.length, j)
+    assert got.tolist() == [matching.partial_ratio(a[p], b[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def test_fuzzy_scores_without_python_pairs(monkeypatch):
+    """Plain texts of any length, also with repeated words, are scored by arrays over many pairs: pair by pair it took too long."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abdeilmorstuvz") for _ in range(rnd.randrange(2, 11))) for _ in range(60)] + ["bar", "via", "di", "circolo"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, n)))
+    place = lambda: rnd.choice(["", text(6), text(16)[:120].strip()])
+    s = [(i, text(rnd.choice([3, 6, 14])), place()) for i in range(60)]
+    p = [(i * 7 % 1009, text(rnd.choice([3, 6, 14])), place()) for i in range(700)]
+    want = {i: sorted(((x, j) for j, n, a in p if (x := round(matching.pair_score(name, address, n, a), 6)) >= 60), reverse=True)[:6] for i, name, address in s}
+    monkeypatch.setattr(matching, "pair_score", None)
+    asked, got = matching.Services(*map(list, zip(*s, strict=True)), 60.0), {}
+    for part in (p[:300], p[300:]):
+        block = matching.PoiBlock(*map(list, zip(*part, strict=True)))
+        for i, x, j in asked.best(block, 6):
+            got.setdefault(i, []).append((x, block.ids[j]))
+    assert {i: sorted(g, reverse=True)[:6] for i, g in got.items()} == {i: w for i, w in want.items() if w}
+
+
 def test_best_external_against_all_pairs(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("abdefilmoprstuvz") for _ in range(rnd.randrange(3, 10))) for _ in range(30)]
