@@ -135,20 +135,31 @@ class AddressReader:
         """The parts of an address, or None where it names no street."""
         if not text:
             return None
-        s = _BREAKS.sub(", ", fold(text)).strip(" \t\"'")
-        s = _STRAY.sub("", _BLANKS.sub(" ", s))
+        # Each pattern is only searched where a plain test lets it be there.
+        s = fold(text)
+        if not s.isprintable():
+            s = _BREAKS.sub(", ", s)
+        s = s.strip(" \t\"'")
+        if "  " in s or not s.isprintable():
+            s = _BLANKS.sub(" ", s)
+        if "'" in s:
+            s = _STRAY.sub("", s)
         if _NOTE_HINT.search(s):
             for _ in range(2):
                 s = _NOTES.sub(" ", s).strip(" ,-;")
-        s = _ABBREVIATED.sub(lambda k: k.lastgroup + " ", s.strip(" ,-;"))
+        s = s.strip(" ,-;")
+        if "." in s or "vle" in s or "vlo" in s or "lgo" in s or "cso" in s:
+            s = _ABBREVIATED.sub(lambda k: k.lastgroup + " ", s)
         locality = ""
         m = _CAP.search(s)
         if m:
             locality = self.coded_place(m[1], m[2] or "")
             tail = m[2] if m[2] and (self.place(m[2], True) or m[2] == locality) else ""
             s = (s[: m.start()] + " , " + s[m.end(1) + (len(m[0]) - len(m[1]) if tail else 0) :]).strip()
-        s = _PROVINCE_LAST.sub("", _PROVINCE.sub(" ", s).strip(" ,-"))
-        m = _HAMLET.search(s)
+        s = (_PROVINCE.sub(" ", s) if "(" in s else s).strip(" ,-")
+        if s[-3:-2] == " ":
+            s = _PROVINCE_LAST.sub("", s)
+        m = _HAMLET.search(s) if "fraz" in s else None
         if m:
             named = self.place(m[1], True)
             locality = locality or (m[1] if named == SEVERAL else named or m[1])

@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,15 +178,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float =
     return w
 
 
-def _alike(a: str, b: str) -> Column:
-    """Share of letters two texts agree in, by edit distance; null where one is empty.
+def _edits(a: str, b: str) -> Column:
+    return F.when(F.col(a) == F.col(b), 0).otherwise(F.levenshtein(F.col(a), F.col(b)))
+
+
+def _alike(a: str, b: str, edits: str) -> Column:
+    """Share of letters two texts agree in, by edit distance (column ``edits``); null where one is empty.
 
     Or that of their consonants followed by their vowels if it's greater: a vowel and a consonant swapped are one slip.
     """
     longest, sorted_ = F.greatest(F.length(a), F.length(b)), lambda c: F.concat(F.translate(F.col(c), VOWELS, ""), F.translate(F.col(c), CONSONANTS, ""))
-    plain = F.levenshtein(F.col(a), F.col(b))
-    edits = F.when(plain <= 1, plain).otherwise(F.least(plain, F.levenshtein(sorted_(a), sorted_(b))))
-    return F.when((F.col(a) != "") & (F.col(b) != ""), F.when(F.col(a) == F.col(b), 1.0).otherwise(1 - edits / longest))
+    plain = F.col(edits)
+    least = F.when(plain <= 1, plain).otherwise(F.least(plain, F.levenshtein(sorted_(a), sorted_(b))))
+    return F.when((F.col(a) != "") & (F.col(b) != ""), F.when(plain == 0, 1.0).otherwise(1 - least / longest))
 
 
 NAME_FIELDS = ["activity", "word", "given", "ordinal"]
@@ -242,30 +247,38 @@ def match_entities(services: DataFrame, pois: DataFrame) -> DataFrame:
     side = lambda df, c: df.select(F.col("id").alias(c), F.concat_ws("\t", *fields).alias(f"{c}_all"), F.col("main").alias(f"{c}_main"))
     pairs = slim.join(side(d, "d"), "d").join(side(q, "q"), "q").withColumns({f"{c}_all": F.split(f"{c}_all", "\t", -1) for c in "qd"})
     pairs = pairs.select("*", *[F.col(f"{c}_all")[i].alias(f"{c}_{f}") for c in "qd" for i, f in enumerate(fields)])
+    # The distance is used several times and computed once.
+    pairs = pairs.withColumns({f"edits_{f}": _edits(f"q_{f}", f"d_{f}") for f in ("word", "street")})
     at = lambda f: (F.col(f"q_{f}"), F.col(f"d_{f}"))
     fits = lambda f: (F.col(f"q_{f}") == F.col(f"d_{f}")) | (F.col(f"q_{f}") == "") | (F.col(f"d_{f}") == "")
     settled = F.least("q_main", "d_main") >= 0.5
     lacking = (F.col("q_civic") == "") | (F.col("d_civic") == "")
-    alike, alike_street = F.coalesce(_alike("q_word", "d_word"), F.lit(0.0)), F.coalesce(_alike("q_street", "d_street"), F.lit(0.0))
+    alike, alike_street = F.coalesce(_alike("q_word", "d_word", "edits_word"), F.lit(0.0)), F.coalesce(_alike("q_street", "d_street", "edits_street"), F.lit(0.0))
     one_name = (alike >= ALIKE) & (F.col("q_ordinal") == F.col("d_ordinal")) & words_fit(*at("activity")) & given_fits(*at("given"))
     one_place = fits("civic") & fits("locality") & fits("kind") & (~F.col("placed") | (alike_street >= ALIKE)) & (~lacking | settled)
     # From here on a pair is a row of numbers.
     single = lambda c, n: c.cast("float").alias(n)
     pairs = pairs.select("q", "d", "placed", "named", single(settled, "settled"), single(F.col("score"), "score"), *[single(F.col(c), c) for c in ("gap_q", "gap_d", "name_gap_q", "name_gap_d")], single(F.coalesce(F.try_divide("score", "ideal"), F.lit(0.0)), "share"), single(F.coalesce(F.try_divide("name", "ideal_name"), F.lit(0.0)), "name_share"), single(alike, "alike"), single(alike_street, "alike_street"), single(alike >= ALIKE, "near"), F.when(~lacking, F.col("q_civic") == F.col("d_civic")).alias("agree"), (one_name & one_place).alias("same"))
     pairs = stage(pairs)
-    rated = pairs.withColumn("confidence", F.when(F.col("placed"), _calibrated(pairs, FEATURES[True])).otherwise(_calibrated(pairs, FEATURES[False])))
+    with_place, without = _calibrated(pairs, [FEATURES[True], FEATURES[False]])
+    rated = pairs.withColumn("confidence", F.when(F.col("placed"), with_place).otherwise(without))
     rated = rated.select("q", "d", F.col("score").cast("double").alias("score"), "confidence", (F.col("same") & (F.col("confidence") >= CONFIDENCE)).alias("matched"))
     ids = lambda of, row, c: full.where(F.col("of") == of).select(F.col("row").alias(row), F.col("id").alias(c))
     out = rated.join(ids("s", "service_id", "q"), "q").join(ids("p", "poi_id", "d"), "d")
     return out.select("service_id", "poi_id", "score", "confidence", "matched")
 
 
-def _calibrated(pairs: DataFrame, features: list[str]) -> Column:
-    """Confidence by ``features``: a logistic fit to a bounded sample of pairs labelled by the held-out civic numbers."""
+def _calibrated(pairs: DataFrame, kinds: list[list[str]]) -> list[Column]:
+    """Confidence by each of the lists of features: logistic fits to one bounded sample of pairs labelled by the held-out
+    civic numbers."""
     both = pairs.where(F.col("agree").isNotNull() & F.col("placed") & F.col("named"))
     n = both.count()
     sample = both if n <= CALIBRATION_ROWS else both.sample(CALIBRATION_ROWS / n, seed=11).limit(2 * CALIBRATION_ROWS)
-    at = sample.select(*features, "agree").toPandas()
+    at = sample.select(*dict.fromkeys(f for features in kinds for f in features), "agree").toPandas()
+    return [_fitted(at, features) for features in kinds]
+
+
+def _fitted(at: pd.DataFrame, features: list[str]) -> Column:
     weights = fit_logistic(at[features].to_numpy(float), at["agree"].to_numpy(float)) if len(at) else np.zeros(len(features) + 1)
     z = F.lit(float(weights[0]))
     for w, f in zip(weights[1:], features, strict=True):

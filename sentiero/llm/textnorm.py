@@ -31,6 +31,32 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+def _few_typos(a: str, b: str) -> int:
+    """``typo_distance`` to 2 of two texts that begin and end with different letters: 3 for more.
+
+    Either one edit is all there is, or one stands at the beginning, one at the end, and what lies between is the same.
+    """
+    m, n = len(a), len(b)
+    if m == n == 1:
+        return 1 if (a, b) in ADJACENT else 2
+    if m == n == 2 and a[0] == b[1] and a[1] == b[0]:
+        return 1
+    if m - n == 2:
+        return 2 if a[1:-1] == b else 3
+    if n - m == 2:
+        return 2 if b[1:-1] == a else 3
+    # How many letters a letter mistaken or a swap takes from either side.
+    first = [*([1] if (a[0], b[0]) in ADJACENT else ()), *([2] if a[1:2] == b[0] and b[1:2] == a[0] else ())]
+    last = [*([1] if (a[-1], b[-1]) in ADJACENT else ()), *([2] if a[-2:-1] == b[-1] and b[-2:-1] == a[-1] else ())]
+    if m > n:
+        found = any(a[i:-1] == b[i:] for i in first) or any(a[1 : m - i] == b[: n - i] for i in last if i <= n)
+    elif n > m:
+        found = any(b[i:-1] == a[i:] for i in first) or any(b[1 : n - i] == a[: m - i] for i in last if i <= m)
+    else:
+        found = a[1:] == b[:-1] or a[:-1] == b[1:] or any(i + j <= m and a[i : m - j] == b[i : n - j] for i in first for j in last)
+    return 2 if found else 3
+
+
 def typo_distance(a: str, b: str, limit: int = 2) -> int:
     """Edits that turn ``a`` into ``b``, or ``limit + 1`` when there are more.
 
@@ -51,6 +77,8 @@ def typo_distance(a: str, b: str, limit: int = 2) -> int:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return min(len(a) + len(b), limit + 1)
+    if limit <= 2:
+        return min(_few_typos(a, b) if limit == 2 or len(a) == len(b) <= 2 else 3, limit + 1)
     # Only cells within ``limit`` of the diagonal can stay within the limit, so long texts cost no more than their length.
     far = limit + 1
     before: dict[int, int] = {}
@@ -170,7 +198,9 @@ class NearIndex:
         mask, sizes, near = _letters(token), self.sizes, []
         for k in range(n - limit, n + limit + 1):
             if k in sizes:
-                near += [w for m, w in sizes[k] if (m ^ mask).bit_count() <= 2 * limit]
+                # An edit changes the set by two letters at most, one that changes the length by one.
+                most = 2 * limit - abs(k - n)
+                near += [w for m, w in sizes[k] if (m ^ mask).bit_count() <= most]
         if self.long and n + limit > self.SHORT_WORD:
             hashes, of = self._left()
             wanted = np.fromiter(map(hash, _shortened(token, limit)), np.int64)

@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from sentiero.llm import textnorm
 from sentiero.llm.name_parse import NameReader
 from sentiero.llm.names import name_ids, same_name_pairs
 from sentiero.llm.textnorm import NearIndex
@@ -116,3 +117,17 @@ def test_many_places_are_looked_up_fast():
     for _ in range(100):
         index.find(word())
     assert time.process_time() - began < 0.5
+
+
+def test_two_typos_without_a_table():
+    """Up to two errors are told by comparing what lies between them; three and more by the table of all prefixes."""
+    rnd = random.Random(6)
+    for letters in ("ab", "aesq", "aeioumnstr"):
+        for _ in range(3000):
+            a = "".join(rnd.choice(letters) for _ in range(rnd.randrange(8)))
+            b = list(a)
+            for _ in range(rnd.randrange(4)):
+                b[(i := rnd.randrange(len(b) + 1)) : i + rnd.randrange(3)] = [rnd.choice(letters) for _ in range(rnd.randrange(3))]
+            b = "".join(b)
+            assert textnorm.typo_distance(a, b) == min(3, textnorm.typo_distance(a, b, 3)), (a, b)
+    assert textnorm._few_typos("abcd", "xbcy") == 3 and textnorm._few_typos("abcd", "sbcf") == 2
